@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import mark_exact_duplicates
 from .mixing import mix_plan
 from .packing import pack
+from .quality_rules import judge
+from .secrets import find_secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,10 @@ r AS (SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r"""
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,13 +67,19 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + least(size, greatest(0, floor(target - epochs * source_size + 0.5)::BIGINT - before)))::BIGINT AS taken FROM j"""
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op4_source_mix": op4_source_mix,
+    "op6_quality_rules": op6_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
