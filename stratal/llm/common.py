@@ -104,3 +104,9 @@ def worker_state(name: str, make):
 def crc_bucket(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that very long texts do not add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
