@@ -14,6 +14,7 @@ from .packing import pack
 from .quality_mil import score_quality
 from .quality_rules import judge
 from .secrets import find_secrets
+from .substring_dedup import repeated_passages
 from .toxicity import score_toxicity
 
 
@@ -95,6 +96,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 OP5_SQL = r"""
