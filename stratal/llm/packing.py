@@ -25,9 +25,10 @@ from .common import cut, worker_state
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_ENTRIES = 400_000  # of each of a worker's two caches, which are emptied when full
+CACHE_ENTRIES = 600_000  # of each of a worker's two caches, which are emptied when full
 ROWS_PER_RANK_GROUP = 20_000
 UNUSUAL = r"[\x1c-\x1f\x85\u180e\u200b\u2028\u2029\ufeff]|<\|"
+PLAIN = r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u0148\u014a-\u017e]+"  # composed characters with simple lower case
 
 
 class _Encoder:
@@ -42,6 +43,7 @@ class _Encoder:
 
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
@@ -51,6 +53,8 @@ class _Encoder:
         self.chunked = spec["model"].get("end_of_word_suffix") == "</w>" and steps[0]["type"] == "Split"
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.chunked else None
         self.unusual = regex.compile(UNUSUAL)
+        self.plain = regex.compile(PLAIN)
+        self.to_symbols = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -58,14 +62,15 @@ class _Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii():
+        if not self.plain.fullmatch(chunk):
             out = self._whole(chunk)
         else:
             parts = []
             for piece in self.pattern.findall(chunk.lower()):
                 ids = self.pieces.get(piece)
                 if ids is None:
-                    ids = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+                    symbols = piece if piece.isascii() else self.to_symbols(piece)[0][0]
+                    ids = np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
                     if len(self.pieces) >= CACHE_ENTRIES:
                         self.pieces.clear()
                     self.pieces[piece] = ids
