@@ -507,3 +507,49 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["content_hashes"] = content_hashes
 ORACLES["content_hashes"] = "SELECT sha256('{\"entity_type\":\"NamedIndividual\",\"iri\":\"nation:n' || n_nationkey || '\"}') AS hash FROM nation"
+
+
+@query("SELECT name, 'http://example.org/' || name || '#' AS namespace_iri FROM (SELECT unnest(['tpch','region','nation','supp','cust','part','brand','ptype','seg','bpart','order','doc','REGION']) AS name)")
+def list_prefixes(o):
+    return mu.list_prefixes(o)
+
+
+@query("SELECT 'zz' AS name, 'http://zz.org/' AS namespace_iri UNION ALL SELECT 'tpch', 'http://new.org/'")
+def set_prefix(o):
+    o, _ = mu.set_prefix(o, "zz", "http://zz.org/")
+    o, _ = mu.set_prefix(o, "tpch", "http://new.org/")
+    return o.prefixes.where("name IN ('zz', 'tpch')")
+
+
+@query(
+    """, hit AS (SELECT hash, replace(data, '"nation:n0"', '"nation:n1"') AS moved FROM ax WHERE hash IN (SELECT hash FROM ae WHERE entity_iri = 'nation:n0')),
+    post AS (SELECT type, data FROM ax WHERE hash NOT IN (SELECT hash FROM hit) UNION SELECT ax.type, hit.moved FROM hit JOIN ax ON ax.hash = hit.hash)
+    SELECT type, count(DISTINCT data) AS n FROM post WHERE type <> 'AnnotationAssertion' GROUP BY type"""
+)
+def rename_iri_state(o):
+    return q.count_axioms_by_type(mu.rename_iri(o, "nation:n0", "nation:n1")[0]).where("type != 'AnnotationAssertion'")
+
+
+@query("SELECT split_part(entity_iri, ':', 1) AS prefix, substr(entity_iri, instr(entity_iri, ':') + 1) AS local_name, count(*) AS n FROM ae GROUP BY ALL")
+def curie_parts(o):
+    from stratal.functions.columns import local_name_of, prefix_of
+
+    return o.mentions.groupBy(prefix_of("entity_iri").alias("prefix"), local_name_of("entity_iri").alias("local_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT '"' || p_name || '"@en' AS term, count(*) AS n FROM part GROUP BY p_name UNION ALL SELECT '"' || source || '"^^xsd:string', count(*) FROM documents GROUP BY source""")
+def literal_terms(o):
+    labels = o.nodes.where("parent_id = 0 AND field = 'value' AND kind IN ('lang', 'typed')").join(o.axioms.where("data LIKE '%rdfs:label%' AND (data LIKE '%part:p%' OR data LIKE '%doc:d%')"), "hash", "left_semi")
+    return labels.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'SubClassOf(tpch:Loop, ObjectHasSelf(tpch:partOf))' AS node_repr UNION ALL SELECT 'SubObjectPropertyOfChain([tpch:contains, tpch:hasBrand], tpch:containsBrand)' UNION ALL SELECT 'DifferentIndividuals(region:r0, region:r1, region:r2, region:r3, region:r4)'")
+def rendered_axioms(o):
+    named = "node_repr LIKE '%ObjectHasSelf%' OR tag IN ('SubObjectPropertyOfChain', 'DifferentIndividuals')"
+    return o.nodes.where("kind = 'axiom'").where(named).select("node_repr")
+
+
+@query("SELECT count(*) AS exported, (SELECT count(*) FROM drifted) - count(*) AS skipped FROM ax WHERE hash IN (SELECT item FROM drifted)")
+def export_counts(o):
+    n, size = export_lines(o, within="drifted").agg(F.count(F.lit(1)).alias("exported")), o.selections["drifted"].items.agg(F.count(F.lit(1)).alias("size"))
+    return n.join(F.broadcast(size)).select("exported", (F.col("size") - F.col("exported")).alias("skipped"))  # one row each

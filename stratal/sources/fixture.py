@@ -15,11 +15,12 @@ from stratal.plans import model as m
 from stratal.plans.model import Literal, Node, Sql, make
 from stratal.plans.spec import FIELDS
 
-from .ontology import Ontology, Selection
+from .ontology import AXIOM_TEXT, ENTITY_TEXT, MENTIONS, NODES, Ontology, Selection, axiom_rows, derived
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
 PREFIXES = ("tpch", "region", "nation", "supp", "cust", "part", "brand", "ptype", "seg", "bpart", "order", "doc", "REGION")
 XSD = "xsd:string"
+SCHEMAS = {"mentions": MENTIONS, "entity_text": ENTITY_TEXT, "axiom_text": AXIOM_TEXT, "nodes": NODES}
 
 
 def _s(text: str) -> Sql:
@@ -71,6 +72,11 @@ def constants() -> list[Node]:
 
 
 def templates() -> list[tuple[str, Node]]:
+    """All templates: those over tables and the constants."""
+    return table_templates() + [("SELECT 1 AS one", a) for a in constants()]
+
+
+def table_templates() -> list[tuple[str, Node]]:
     """(source query, axiom); the queries run in Spark and in DuckDB."""
     named = (("region:r", "SELECT r_regionkey AS k, r_name AS v FROM region", "tpch:Region"), ("nation:n", "SELECT n_nationkey AS k, n_name AS v FROM nation", "tpch:Nation"), ("supp:s", "SELECT s_suppkey AS k, s_name AS v FROM supplier", "tpch:Supplier"))
     out: list[tuple[str, Node]] = []
@@ -102,7 +108,7 @@ def templates() -> list[tuple[str, Node]]:
         ("SELECT DISTINCT p_brand FROM part", make("EquivalentClasses", equivalent_classes=[_s("('bpart:' || p_brand)"), _some("tpch:hasBrand", brand)])),
         ("SELECT DISTINCT x.p_type AS ta, y.p_type AS tb FROM part AS x JOIN (SELECT DISTINCT p_type FROM part) AS y ON x.p_type < y.p_type", make("DisjointClasses", disjoint_classes=[_s("('ptype:' || tb)"), _s("('ptype:' || ta)")])),
     ]
-    return out + [("SELECT 1 AS one", a) for a in constants()]
+    return out
 
 
 # ---- SQL text ------------------------------------------------------------------------------------------------------
@@ -189,13 +195,18 @@ def ontology(spark: SparkSession, sf_dir: str) -> Ontology:
         for t in TABLES:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         parts: dict[str, list[DataFrame]] = {k: [] for k in ("axioms", "mentions", "entity_text", "axiom_text", "nodes")}
-        for src, a in templates():
+        for src, a in table_templates():
             base = spark.sql(hashed(src, a, lambda x: f"sha2({x}, 256)"))
             parts["axioms"].append(base.select("hash", "type", "data"))
             for name, (cols, found) in rows(a).items():
                 if found:
                     structs = ", ".join("struct(" + ", ".join(f"{v} AS {c}" for c, v in zip(cols, r, strict=True)) + ")" for r in found)
                     parts[name].append(base.selectExpr("hash", f"inline(array({structs}))"))
+        # the constants are few: one small partition each
+        fixed = constants()
+        parts["axioms"].append(axiom_rows(spark, fixed).coalesce(1))
+        for name, found in derived((m.content_hash(a), a) for a in fixed).items():
+            parts[name].append(spark.createDataFrame(found, SCHEMAS[name]).coalesce(1))
         # repeats of an axiom within a template are removed at the source, and no two templates give one axiom
         union = {k: reduce(DataFrame.unionByName, v).persist() for k, v in parts.items()}
         prefixes = spark.createDataFrame([(p, f"http://example.org/{p}#") for p in PREFIXES], "name string, namespace_iri string")
