@@ -22,15 +22,15 @@ from .common import small_batches, worker_state
 # fixed values: (label, name as a pattern, keyword, address as a pattern or "")
 LICENSES = [
     ("mit", r"(?:the )?mit(?: open source)? licen[sc]e|expat licen[sc]e", "mit licen", r"opensource\.org/licenses?/mit"),
-    ("mit-0", r"mit no attribution(?: licen[sc]e)?|mit-0", "mit", ""),
+    ("mit-0", r"mit no attribution(?: licen[sc]e)?|mit-0", "mit no attribution|mit-0", ""),
     ("apache-2.0", r"apache(?: software)?(?: foundation)? licen[sc]e,? ?\(?(?:version|v\.?)? ?2(?:\.0)?\)?", "apache", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", r"apache(?: software)? licen[sc]e,? ?(?:version|v\.?)? ?1\.1", "apache", r"apache\.org/licenses/license-1\.1"),
     ("apache-1.0", r"apache(?: software)? licen[sc]e,? ?(?:version|v\.?)? ?1\.0", "apache", r"apache\.org/licenses/license-1\.0"),
     ("gpl-1.0", r"gnu general public licen[sc]e,? ?(?:version|v\.?)? ?1(?:\.0)?(?! or)", "general public", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
     ("gpl-2.0", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?\(?(?:version|v\.?)? ?2(?:\.0)?(?:-only)?\)?", "gpl|general public", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
     ("gpl-3.0", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?\(?(?:version|v\.?)? ?3(?:\.0)?(?:-only)?\)?", "gpl|general public", r"gnu\.org/licenses/gpl-3\.0"),
-    ("gpl-2.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version|v\.?)? ?2(?:\.0)?,? (?:or|and) (?:\(at your option\) )?(?:any )?later", "later", ""),
-    ("gpl-3.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version|v\.?)? ?3(?:\.0)?,? (?:or|and) (?:\(at your option\) )?(?:any )?later", "later", ""),
+    ("gpl-2.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version|v\.?)? ?2(?:\.0)?,? (?:or|and) (?:\(at your option\) )?(?:any )?later", "or later|and later|any later|option) later", ""),
+    ("gpl-3.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version|v\.?)? ?3(?:\.0)?,? (?:or|and) (?:\(at your option\) )?(?:any )?later", "or later|and later|any later|option) later", ""),
     ("lgpl-2.0", r"(?:gnu )?(?:library general public licen[sc]e|lgpl),? ?(?:version|v\.?)? ?2(?:\.0)?(?!\.1)", "lgpl|library general", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"),
     ("lgpl-2.1", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version|v\.?)? ?2\.1", "lgpl|lesser general", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
     ("lgpl-3.0", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version|v\.?)? ?3(?:\.0)?", "lgpl|lesser general", r"gnu\.org/licenses/lgpl-3\.0"),
@@ -46,7 +46,7 @@ LICENSES = [
     ("isc", r"isc licen[sc]e", "isc licen", r"opensource\.org/licenses?/isc"),
     ("mpl-1.0", r"mozilla public licen[sc]e,? ?(?:version|v\.?)? ?1\.0", "mozilla", r"mozilla\.org/mpl/1\.0"),
     ("mpl-1.1", r"mozilla public licen[sc]e,? ?(?:version|v\.?)? ?1\.1", "mozilla", r"mozilla\.org/mpl/1\.1"),
-    ("mpl-2.0", r"mozilla public licen[sc]e,? ?(?:version|v\.?)? ?2(?:\.0)?|mpl[ -]2\.0", "mozilla|mpl", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
+    ("mpl-2.0", r"mozilla public licen[sc]e,? ?(?:version|v\.?)? ?2(?:\.0)?|mpl[ -]2\.0", "mozilla|mpl-2|mpl 2", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
     ("epl-1.0", r"eclipse public licen[sc]e,? ?(?:version|v\.?|-)? ?1\.0", "eclipse", r"eclipse\.org/legal/epl-v10"),
     ("epl-2.0", r"eclipse public licen[sc]e,? ?(?:version|v\.?|-)? ?2\.0", "eclipse", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
     ("edl-1.0", r"eclipse distribution licen[sc]e,? ?(?:version|v\.?|-)? ?1\.0", "eclipse", r"eclipse\.org/org/documents/edl-v10"),
@@ -56,8 +56,8 @@ LICENSES = [
     ("ipl-1.0", r"ibm public licen[sc]e,? ?(?:version|v\.?)? ?1\.0", "ibm public", ""),
     ("ms-pl", r"microsoft public licen[sc]e|ms-pl", "microsoft|ms-pl", r"opensource\.org/licenses?/ms-pl"),
     ("ms-rl", r"microsoft reciprocal licen[sc]e|ms-rl", "microsoft|ms-rl", r"opensource\.org/licenses?/ms-rl"),
-    ("artistic-1.0", r"(?:perl )?artistic licen[sc]e,? ?(?:version|v\.?)? ?1\.0", "artistic", r"opensource\.org/licenses?/artistic-1\.0"),
-    ("artistic-2.0", r"(?:perl )?artistic licen[sc]e,? ?(?:version|v\.?)? ?2(?:\.0)?", "artistic", r"opensource\.org/licenses?/artistic-2\.0"),
+    ("artistic-1.0", r"(?:perl )?artistic licen[sc]e,? ?(?:version|v\.?)? ?1\.0", "artistic licen", r"opensource\.org/licenses?/artistic-1\.0"),
+    ("artistic-2.0", r"(?:perl )?artistic licen[sc]e,? ?(?:version|v\.?)? ?2(?:\.0)?", "artistic licen", r"opensource\.org/licenses?/artistic-2\.0"),
     ("bsl-1.0", r"boost software licen[sc]e(?:,? ?-? ?(?:version|v\.?)? ?1\.0)?", "boost software", r"boost\.org/license_1_0"),
     ("busl-1.1", r"business source licen[sc]e(?:,? ?(?:version|v\.?)? ?1\.1)?", "business source", r"mariadb\.com/bsl11"),
     ("sspl-1.0", r"server side public licen[sc]e(?:,? ?(?:version|v\.?)? ?1)?", "server side public", r"mongodb\.com/licensing/server-side-public-license"),
@@ -83,8 +83,8 @@ LICENSES = [
     ("pddl-1.0", r"public domain dedication and licen[sc]e|pddl", "public domain|pddl", r"opendatacommons\.org/licenses/pddl"),
     ("ofl-1.1", r"sil open font licen[sc]e,? ?(?:version|v\.?)? ?1\.1", "open font", r"scripts\.sil\.org/ofl"),
     ("llama-2", r"llama 2 community licen[sc]e", "llama 2", ""),
-    ("openrail-m", r"(?:creativeml |bigscience )?open ?rail(?:\+\+)?-m", "rail", ""),
-    ("cc0-1.0", r"(?:creative commons|cc)[ -]?(?:zero|0)(?:,? ?(?:universal)? ?(?:version|v\.?)? ?1\.0)?(?: universal)?", "cc0|creative commons", r"creativecommons\.org/publicdomain/zero/1\.0"),
+    ("openrail-m", r"(?:creativeml |bigscience )?open ?rail(?:\+\+)?-m", "openrail|open rail|open-rail", ""),
+    ("cc0-1.0", r"(?:creative commons|cc)[ -]?(?:zero|0)(?:,? ?(?:universal)? ?(?:version|v\.?)? ?1\.0)?(?: universal)?", "cc0|cc zero|cc-zero|cczero|cc 0|cc-0|creative commons", r"creativecommons\.org/publicdomain/zero/1\.0"),
 ]
 
 CC_KINDS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
@@ -101,7 +101,7 @@ NOTICES = [
     ("permissive-text", r"permission is hereby granted,? free of charge", "permission is hereby"),
     ("bsd-text", r"redistribution and use in source and binary forms", "redistribution and use"),
     ("copyleft-text", r"this program is free software[:;,]? you can redistribute it", "free software"),
-    ("no-warranty", r"provided [\"'“]?as[ -]is[\"'”]?,? without (?:any )?warrant(?:y|ies)", "without"),
+    ("no-warranty", r"provided [\"'“]?as[ -]is[\"'”]?,? without (?:any )?warrant(?:y|ies)", "as is|as-is"),
     ("non-commercial", r"(?:for )?non-?commercial use only", "commercial use"),
     ("copyright", r"(?:copyright )?(?:\(c\)|©) ?(?:copyright )?\d{4}", "(c)|©"),
 ]
@@ -114,7 +114,7 @@ def rules() -> list[tuple[str, str, str, re.Pattern]]:
         for version in CC_VERSIONS:
             words = r"[ -]".join(_CC_WORDS[p] for p in kind.split("-"))
             name = rf"cc[ -]{kind.replace('-', '[ -]')}[ -]{re.escape(version)}|creative commons {words}(?: {re.escape(version)})?(?: international| unported| generic)? licen[sc]e|creative commons {words} {re.escape(version)}"
-            table.append((f"cc-{kind}-{version}", name, "cc|creative commons", rf"creativecommons\.org/licenses/{kind}/{re.escape(version)}"))
+            table.append((f"cc-{kind}-{version}", name, "cc by|cc-by|creative commons", rf"creativecommons\.org/licenses/{kind}/{re.escape(version)}"))
     out = []
     for label, name, key, address in table:
         edge = rf"(?<![0-9a-z])(?:{name})(?![0-9a-z])"
