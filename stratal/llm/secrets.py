@@ -85,10 +85,10 @@ def encoding(core: Column) -> Column:
 
 def battery(tokens: DataFrame) -> DataFrame:
     """tokens (column v) with p_random (against uniform symbols) and p_natural (against natural text)."""
-    core = F.regexp_replace("v", "=+$", "")
+    core = F.regexp_replace("v", "=+$", "")  # may leave nothing of a ruled line
     t = tokens.withColumn("core", F.translate(core, "-_", "+/")).withColumn("enc", encoding(F.col("core")))
     folded = F.when(F.col("enc").isin("hex", "base36"), F.lower("core")).otherwise(F.col("core"))
-    t = t.withColumn("sym", folded).withColumn("n", F.length("core").cast("double"))
+    t = t.withColumn("sym", folded).withColumn("n", F.greatest(F.length("core"), F.lit(2)).cast("double"))
     t = t.withColumn("alphabet", F.element_at(F.create_map(*(F.lit(x) for kv in ALPHABETS.items() for x in kv)), F.col("enc")))
     t = t.withColumn("size", F.length("alphabet").cast("double"))
     t = t.withColumn("chars", F.expr("filter(split(sym, ''), c -> c != '')"))
