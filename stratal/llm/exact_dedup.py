@@ -77,9 +77,8 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = d.count()
     d = probe(d, "text_sha256", cut(repeat_filter(d, "text_sha256", rows)), rows, "maybe")
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"), (-F.col("rid")).alias("nrid")))
-    groups = (
-        d.where("maybe").groupBy(F.col("text_sha256").alias("g_sha")).agg(F.count(F.lit(1)).alias("g_n"), best.alias("b"))
-    )
+    # written out, so that both sides of the join below come from an exchange and a hot hash can be split
+    groups = cut(d.where("maybe").groupBy(F.col("text_sha256").alias("g_sha")).agg(F.count(F.lit(1)).alias("g_n"), best.alias("b")))
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_points"]
     repeated = (
         d.where("maybe")
