@@ -13,6 +13,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 
@@ -61,21 +62,30 @@ class _Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _split(self, chunk: str) -> list[str] | None:
+        """The chunk's pieces; None where only the tokenizer knows."""
+        if chunk.isascii():
+            low = chunk.lower()
+            if low.isalpha():
+                return [low]
+            if low[:-1].isalpha() and low[-1] in ".,;:!?":
+                return [low[:-1], low[-1]]
+            return self.pattern.findall(low)
+        return self.pattern.findall(chunk.lower()) if self.plain.fullmatch(chunk) else None
+
+    def _piece(self, piece: str) -> bytes:
+        symbols = piece if piece.isascii() else self.to_symbols(piece)[0][0]
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.pieces) >= CACHE_ENTRIES:
+            self.pieces.clear()
+        self.pieces[piece] = out
+        return out
+
     def _chunk(self, chunk: str) -> bytes:
-        if not self.plain.fullmatch(chunk):
-            out = self._whole(chunk)
-        else:
-            parts = []
-            for piece in self.pattern.findall(chunk.lower()):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    symbols = piece if piece.isascii() else self.to_symbols(piece)[0][0]
-                    ids = np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
-                    if len(self.pieces) >= CACHE_ENTRIES:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-                parts.append(ids)
-            out = b"".join(parts)
+        parts = self._split(chunk)
+        known = self.pieces.get
+        out = self._whole(chunk) if parts is None else b"".join([known(p) or self._piece(p) for p in parts])
         if len(chunk) <= 64:
             if len(self.chunks) >= CACHE_ENTRIES:
                 self.chunks.clear()
