@@ -21,7 +21,7 @@ from .common import small_batches, worker_state
 
 # fixed values: (label, name as a pattern, keyword, address as a pattern or "")
 LICENSES = [
-    ("mit", r"(?:the )?mit(?: open source)? licen[sc]e|expat licen[sc]e", "mit licen", r"opensource\.org/licenses?/mit"),
+    ("mit", r"(?:the )?mit(?: open source)? licen[sc]e|expat licen[sc]e", "mit licen|mit open source|expat licen", r"opensource\.org/licenses?/mit"),
     ("mit-0", r"mit no attribution(?: licen[sc]e)?|mit-0", "mit no attribution|mit-0", ""),
     ("apache-2.0", r"apache(?: software)?(?: foundation)? licen[sc]e,? ?\(?(?:version|v\.?)? ?2(?:\.0)?\)?", "apache", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", r"apache(?: software)? licen[sc]e,? ?(?:version|v\.?)? ?1\.1", "apache", r"apache\.org/licenses/license-1\.1"),

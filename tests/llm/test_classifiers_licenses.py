@@ -73,6 +73,44 @@ def test_license_rules():
             assert not any(b is not a and b[0] <= a[0] and b[1] >= a[1] and PRIORITY[b[3]] >= PRIORITY[a[3]] for b in found)
 
 
+def sample(parsed, rng):
+    """A random string of a parsed pattern; lookarounds count as empty."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += {"LITERAL": lambda: chr(value), "RANGE": lambda: chr(value[0]), "CATEGORY": lambda: "1" if "DIGIT" in str(value) else " "}[str(kind)]()
+        elif name == "ANY":
+            out += "x"
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, body = arg
+            out += "".join(sample(body, rng) for _ in range(rng.randint(low, min(high, low + 1))))
+        elif name == "SUBPATTERN":
+            out += sample(arg[3], rng)
+        elif name == "BRANCH":
+            out += sample(rng.choice(arg[1]), rng)
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+    return out
+
+
+def test_every_alternative_of_a_license_rule_has_a_keyword():
+    rng = random.Random(0)
+    missing = set()
+    for label, kind, keys, pattern in rules():
+        for _ in range(150):
+            text = " ".join(sample(re._parser.parse(pattern.pattern), rng).split()).lower()
+            if not any(key in text for key in keys.split("|")):
+                missing.add((label, kind, text))
+    assert not missing, sorted(missing)[:9]
+    scan = Scanner()
+    for text in ("licensed under the Expat license", "the MIT open source license"):
+        assert scan(text)[5] == "mit" and scan(text)[6] >= 0.75
+
+
 def auc(score, y):
     order = np.argsort(np.argsort(score)) + 1
     n1 = y.sum()
