@@ -2,7 +2,7 @@
 
 Every license has up to four rules, from strong to weak: an SPDX tag, a grant ("licensed under ..."), an address, and a
 mention of its name. A text is searched for the rules' keywords by one automaton first; only rules whose keyword occurs
-are tried. Of overlapping detections, one that lies inside another of the same or higher priority is dropped (of equal
+are tried. Names may be wrapped: white space is folded for the search, and SPDX expressions are read id by id. Of overlapping detections, one that lies inside another of the same or higher priority is dropped (of equal
 spans the earlier rule stays). The base labels (mit, apache, gpl) come from consecutive words and always stay.
 
 Defined cases: null text counts as empty (no words, no labels, score 0, null first_word and last_word); a null doc_id is
@@ -12,6 +12,7 @@ carried; rows repeated whole are scanned each; an empty table gives an empty res
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -128,6 +129,33 @@ def rules() -> list[tuple[str, str, str, re.Pattern]]:
     return [(label, kind, key, re.compile(pattern)) for label, kind, key, pattern in out]
 
 
+_SPDX = re.compile(r"spdx-license-identifier:\s{0,4}(\(*[0-9a-z.+-]+\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[0-9a-z.+-]+\)*)*)")
+_SPDX_PART = re.compile(r"[0-9a-z.+-]+")
+_GNU = ("gpl-1.0", "gpl-2.0", "gpl-3.0", "lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "agpl-1.0", "agpl-3.0", "gfdl-1.1", "gfdl-1.2", "gfdl-1.3")  # fixed values
+
+
+def spdx_ids() -> dict[str, str]:
+    """Labels of the ids that an SPDX expression may hold; -only is the version itself, -or-later and + have own labels."""
+    out = {label: label for label, kind, _, _ in rules() if kind == "spdx"}
+    for x in _GNU:
+        out |= {f"{x}-only": x, f"{x}-or-later": f"{x}-or-later", f"{x}+": f"{x}-or-later"}
+    return out
+
+
+def folded(low: str) -> tuple[str, list[int], list[int]]:
+    """low with every run of white space as one space, and where (in the result) how many characters went before."""
+    text = _OTHER_SPACE.sub(" ", low)
+    if "  " not in text:
+        return text, [], []
+    at, gone, total = [], [], 0
+    for m in _SPACES.finditer(text):
+        total += m.end() - m.start() - 1
+        at.append(m.end() - total)
+        gone.append(total)
+    return _SPACES.sub(" ", text), at, gone
+
+
+_OTHER_SPACE, _SPACES = re.compile(r"[^\S ]"), re.compile(r" {2,}")
 PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))  # fixed values
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -142,6 +170,7 @@ class Scanner:
         for i, (_, _, keys, _) in enumerate(self.rules):
             for key in keys.split("|"):
                 self.by_key.setdefault(key, []).append(i)
+        self.ids = spdx_ids()
         self.auto = ahocorasick.Automaton()
         for key in self.by_key:
             self.auto.add_word(key, key)
@@ -151,11 +180,27 @@ class Scanner:
 
     def detections(self, low: str) -> list[tuple[int, int, str, str]]:
         """(start, end, label, kind) that no other detection contains, by start."""
-        keys = {key for _, key in self.auto.iter(low)}
+        text, at, gone = folded(low)
+        keys = {key for _, key in self.auto.iter(text)}
         found = []
+        if "spdx-license" in keys:
+            for m in _SPDX.finditer(low):
+                follows_with = False
+                for part in _SPDX_PART.finditer(low, m.start(1), m.end(1)):
+                    word = part.group().rstrip(".-")
+                    if word in ("and", "or", "with"):
+                        follows_with = word == "with"
+                    elif word in self.ids and not follows_with:  # what follows "with" is an exception
+                        start = m.start() if part.start() == m.start(1) else part.start()
+                        found.append((start, part.start() + len(word), -1, self.ids[word], "spdx"))
         for i in sorted({i for key in keys for i in self.by_key[key]}):
             label, kind, _, pattern = self.rules[i]
-            found += [(m.start(), m.end(), i, label, kind) for m in pattern.finditer(low)]
+            for m in pattern.finditer(text):
+                start, end = m.start(), m.end()
+                if at:  # back to places in low; an end goes with the character before it
+                    a, b = bisect_right(at, start), bisect_right(at, end - 1)
+                    start, end = start + (gone[a - 1] if a else 0), end + (gone[b - 1] if b else 0)
+                found.append((start, end, i, label, kind))
         # by start, longest first: of those begun earlier, only the ones of greatest end per priority can contain
         found.sort(key=lambda x: (x[0], -x[1], x[2]))
         reach = [-1] * (max(PRIORITY.values()) + 1)  # greatest end so far of detections of this priority or a higher one

@@ -111,6 +111,21 @@ def test_every_alternative_of_a_license_rule_has_a_keyword():
         assert scan(text)[5] == "mit" and scan(text)[6] >= 0.75
 
 
+def test_wrapped_names_and_spdx_expressions():
+    scan = Scanner()
+    labels = lambda t: set(scan(t)[5].split(","))
+    assert "gpl-2.0" in labels("GNU General Public\nLicense, version 2")
+    assert "mpl-2.0" in labels("under the Mozilla  Public\r\n   License 2.0")
+    assert labels("SPDX-License-Identifier: GPL-3.0-only") == {"gpl-3.0"}
+    assert labels("SPDX-License-Identifier: LGPL-2.1-or-later\n") == {"lgpl-2.1-or-later"}
+    assert labels("SPDX-License-Identifier: AGPL-3.0-only") == {"agpl-3.0"}
+    assert labels("SPDX-License-Identifier: MIT OR Apache-2.0") == {"mit", "apache-2.0"}
+    assert labels("SPDX-License-Identifier: (GPL-2.0+ WITH mit) AND (ISC OR x-1)") == {"gpl-2.0-or-later", "isc"}
+    text = "a  b\n\n c  Mozilla  Public\n  License   2.0  and  the\tISC  License ."
+    places = {label: text[s:e] for s, e, label, _ in scan.detections(text.lower())}
+    assert places == {"mpl-2.0": "Mozilla  Public\n  License   2.0", "isc": "ISC  License"}
+
+
 def auc(score, y):
     order = np.argsort(np.argsort(score)) + 1
     n1 = y.sum()
