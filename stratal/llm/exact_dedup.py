@@ -1,9 +1,13 @@
 """Exact dedup: two-pass Bloom filtering in front of a hash group-by. DataFrame operations only.
 
-Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Pass one counts, per filter
-position, how many rows hash there, and keeps the positions hit twice or more as bitmaps (a two-segment Bloom filter of
-possibly repeated hashes). Pass two probes every row; rows that miss in either segment are unique and pass straight
-through, the others are grouped by SHA-256 with partial aggregation, so a large group meets as one row per task.
+Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Pass one counts, per filter position,
+how many rows hash there (two positions a row, both in one block of the filter), and keeps the positions hit twice or more as
+bitmaps. Pass two probes every row against the broadcast filter; rows that miss in either position are unique and pass
+straight through, the others are grouped by SHA-256 with partial aggregation, so a large group meets as one row per task.
+
+What moves between executors: positions (8 bytes, two a row) in pass one, and the possible repeats in pass two; neither texts
+nor bitmaps do in the passes. The filter has 16 bits a row, up to FILTER_BITS in all, which bounds the broadcast. Nothing changes beyond that
+size but the share of unique rows that are taken for possible repeats: about 2 % at 16 bits a row, 15 % at 4, 63 % at 1.
 
 Defined cases: null text counts as empty (all empty or blank texts are one group); of equal texts the row with the most
 code points, then the smallest doc_id, stays; a null doc_id loses every tie; of rows repeated whole, one stays; an empty
@@ -12,51 +16,51 @@ table gives an empty result; other columns, whatever their names, are carried.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, unspaced
 
 BITS_PER_ROW = 16
-BITMAP_BITS = 32768  # of one bitmap_construct_agg row
-BROADCAST_BITMAPS = 4096  # rows of 4 KB: a filter of up to 16 MB is broadcast, a larger one is joined by bucket
+BLOCK_BITS = 32768  # of one bitmap_construct_agg row
+FILTER_BITS = 1 << 30  # at most: 128 MB, whatever the input
 
 
-def _positions(digest: str, bits: int) -> list:
-    """Two filter positions, one in each segment of bits/2, from independent hashes."""
-    half = bits // 2
-    return [F.pmod(F.xxhash64(F.col(digest), F.lit(seg)), F.lit(half)) + F.lit(seg * half) for seg in (0, 1)]
+def filter_blocks(rows: int, most: int = FILTER_BITS) -> int:
+    bits = min(most, 1 << max(1, (BITS_PER_ROW * max(1, rows) - 1).bit_length()))
+    return max(1, bits // BLOCK_BITS)
 
 
-def filter_bits(rows: int) -> int:
-    return max(2 * BITMAP_BITS, 1 << max(1, (BITS_PER_ROW * max(1, rows) - 1).bit_length()))
+def _block(digest: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(blocks))
 
 
-def repeat_filter(digests: DataFrame, digest: str, rows: int) -> DataFrame:
-    """Bitmaps (bucket, bits) of the positions that two or more rows hit."""
-    at = F.explode(F.array(*_positions(digest, filter_bits(rows)))).alias("pos")
-    twice = digests.select(at).groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (
-        twice.select((F.col("pos") + 1).alias("pos"))
-        .groupBy(F.bitmap_bucket_number("pos").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bits"))
-    )
+def _places(digest: Column) -> list[Column]:
+    """Two bits of the row's block, one in each half."""
+    half = BLOCK_BITS // 2
+    return [(F.pmod(F.xxhash64(digest, F.lit(seg)), F.lit(half)) + F.lit(seg * half)).cast("int") for seg in (0, 1)]
+
+
+def repeat_filter(digests: DataFrame, digest: str, blocks: int) -> DataFrame:
+    """(block, bits): the positions that two or more rows hit."""
+    key = F.col(digest)
+    both = F.explode(F.array(*(_block(key, blocks) * BLOCK_BITS + p for p in _places(key)))).alias("pos")
+    twice = digests.select(both).groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    block, place = F.floor(F.col("pos") / BLOCK_BITS), F.pmod("pos", F.lit(BLOCK_BITS))
+    return twice.groupBy(block.cast("long").alias("block")).agg(F.bitmap_construct_agg(place).alias("bits"))
 
 
-def probe(df: DataFrame, digest: str, bitmaps: DataFrame, rows: int, flag: str) -> DataFrame:
+def probe(df: DataFrame, digest: str, bitmaps: DataFrame, blocks: int, flag: str) -> DataFrame:
     """df with the boolean column flag: may the row's hash repeat?"""
-    bits = filter_bits(rows)
-    hint = F.broadcast if bits // BITMAP_BITS <= BROADCAST_BITMAPS else (lambda x: x)
-    for seg, pos in enumerate(_positions(digest, bits)):
-        side = bitmaps.select(F.col("bucket").alias(f"__bucket{seg}"), F.col("bits").alias(f"__bits{seg}"))
-        df = df.withColumn(f"__pos{seg}", pos + 1)
-        df = df.join(hint(side), F.bitmap_bucket_number(f"__pos{seg}") == F.col(f"__bucket{seg}"), "left")
+    key = F.col(digest)
+    block, bits = fresh(df, "__block"), fresh(df, "__bits")
+    side = F.broadcast(bitmaps.select(F.col("block").alias(block), F.col("bits").alias(bits)))
+    joined = df.join(side, _block(key, blocks) == F.col(block), "left")
     hit = F.lit(True)
-    for seg in (0, 1):
-        at = F.bitmap_bit_position(f"__pos{seg}")
-        byte = F.conv(F.hex(F.substring(F.col(f"__bits{seg}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    for at in _places(key):
+        byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
         hit = hit & F.coalesce(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1) == 1, F.lit(False))
-    return df.withColumn(flag, hit).drop(*(f"__{k}{seg}" for k in ("bucket", "bits", "pos") for seg in (0, 1)))
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), hit.alias(flag))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,11 +75,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_points."""
     d = digests(docs, id_col, text_col)
-    rows = d.count()
-    d = probe(d, "text_sha256", cut(repeat_filter(d, "text_sha256", rows)), rows, "maybe")
+    blocks = filter_blocks(d.count(), filter_bits)
+    d = probe(d, "text_sha256", cut(repeat_filter(d, "text_sha256", blocks)), blocks, "maybe")
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"), (-F.col("rid")).alias("nrid")))
     # written out, so that both sides of the join below come from an exchange and a hot hash can be split
     groups = cut(d.where("maybe").groupBy(F.col("text_sha256").alias("g_sha")).agg(F.count(F.lit(1)).alias("g_n"), best.alias("b")))
@@ -89,19 +93,20 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return alone.select(out).unionByName(repeated.select(out))
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs with one row of each group of equal texts; only rows that may repeat are shuffled."""
     sha, flag, row = fresh(docs, "__sha"), fresh(docs, "__maybe"), fresh(docs, "__row")
     hashed = F.sha2(unspaced(F.col(text_col)).cast("binary"), 256)
     keys = cut(docs.select(hashed.alias(sha)))
-    rows = keys.count()
-    bitmaps = cut(repeat_filter(keys, sha, rows))
-    probed = probe(docs.withColumn(sha, hashed), sha, bitmaps, rows, flag)
+    blocks = filter_blocks(keys.count(), filter_bits)
+    bitmaps = cut(repeat_filter(keys, sha, blocks))
+    probed = probe(docs.withColumn(sha, hashed), sha, bitmaps, blocks, flag)
     order = F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))), -F.col(id_col).cast("long"))
+    every = [F.col(f"`{c}`") for c in docs.columns]
     winners = (
         probed.where(flag)
         .groupBy(sha)
-        .agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias(row))
-        .select(f"{row}.*")
+        .agg(F.max_by(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(every))), order).alias(row))
+        .select(*(F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(docs.columns)))
     )
-    return probed.where(~F.col(flag)).select(*(f"`{c}`" for c in docs.columns)).unionByName(winners)
+    return probed.where(~F.col(flag)).select(*every).union(winners)

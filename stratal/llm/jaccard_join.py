@@ -19,17 +19,16 @@ ignored in the smallest id; rows repeated whole fall into one class; an empty ta
 
 from __future__ import annotations
 
-from functools import cache
 from math import ceil, exp, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small_batches
+from .common import cut, fresh, small, small_batches
 from .components import components
 
 SHINGLE, PERCENT = 3, 90
@@ -62,7 +61,6 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-@cache
 def bands(percent: int) -> list[int]:
     """First size of each band, up to 2**40."""
     out = [1]
@@ -71,10 +69,8 @@ def bands(percent: int) -> list[int]:
     return out
 
 
-@cache
-def segments(percent: int, band: int) -> tuple[int, int]:
-    """Segments of a band, and how many of them beyond r + 1 (so many empty ones may be left out)."""
-    low, high = bands(percent)[band], bands(percent)[band + 1] - 1
+def segments(percent: int, low: int, high: int) -> tuple[int, int]:
+    """Segments of the band of sizes low to high, and how many of them beyond r + 1 (so many empty ones may be left out)."""
     r = (100 - percent) * (high + high * 100 // percent) // (100 + percent)
     if r == 0:
         return 0, 0  # only equal sets are linked
@@ -85,9 +81,14 @@ def segments(percent: int, band: int) -> tuple[int, int]:
     return r + 1 + e, e
 
 
-def sketch_keys(h: np.ndarray, percent: int, band: int) -> np.ndarray:
+def band_table(percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """First sizes of the bands, and the segments() of each."""
+    starts = bands(percent)
+    return np.array(starts), [segments(percent, low, after - 1) for low, after in zip(starts, starts[1:], strict=False)]
+
+
+def sketch_keys(h: np.ndarray, band: int, parts: int, spare: int) -> np.ndarray:
     """Keys of the band's segments."""
-    parts, spare = segments(percent, band)
     if not parts:
         return np.zeros(0, dtype=np.uint64)
     at = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
@@ -106,14 +107,15 @@ def bit_sketch(h: np.ndarray) -> bytes:
 
 
 def _sketcher(k: int, percent: int):
-    names = ["doc_id", "n", "node", "sketch", "own", "keys"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
+    names = ["doc_id", "n", "node", "sketch", "own", "keys", "text_id"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
+
+    starts, cut_into = band_table(percent)
 
     def run(batches):
-        starts = np.array(bands(percent))
         seen: set[int] = set()
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
+            cols: list[list] = [[] for _ in names[:-1]]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingles(text, k)
                 row: tuple = (doc_id, len(h), None, None, 0, None)
@@ -125,20 +127,24 @@ def _sketcher(k: int, percent: int):
                             seen.clear()
                         seen.add(node)
                         band = int(np.searchsorted(starts, len(h), side="right")) - 1
-                        own = sketch_keys(h, percent, band)
-                        below = sketch_keys(h, percent, band - 1) if band else own[:0]
+                        own = sketch_keys(h, band, *cut_into[band])
+                        below = sketch_keys(h, band - 1, *cut_into[band - 1]) if band else own[:0]
                         row = (doc_id, len(h), node, bit_sketch(h), len(own), np.concatenate([own, below]).view(np.int64))
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, type=t) for c, t in zip(cols, kinds[:-1], strict=True)), batch.column(2)], names=names)
 
     return run
 
 
+def text_id(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def sketched(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, node, sketch, own, keys); keys are null where the worker had the set before."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_sketcher(k, percent), "doc_id long, n long, node long, sketch binary, own int, keys array<bigint>")
+    """(doc_id, n, node, sketch, own, keys, text_id); keys are null where the worker had the set before."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_id(F.col(text_col)).alias("text_id"))
+    return narrow.mapInArrow(_sketcher(k, percent), "doc_id long, n long, node long, sketch binary, own int, keys array<bigint>, text_id long")
 
 
 def bucket_rows(table: DataFrame) -> DataFrame:
@@ -261,7 +267,7 @@ def _spanning(members: DataFrame, comps: DataFrame, about: DataFrame, percent: i
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, class_id."""
+    """One row per row of docs: doc_id, n_shingles, component_id, class_id, text_id."""
     small_batches(docs.sparkSession)
     table = cut(sketched(docs, k, percent, id_col, text_col))
     members = cut(bucket_rows(table))
@@ -284,15 +290,15 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     owned = reps.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "rep")
     lowest = owned.groupBy("comp").agg(F.min("rep").alias("component"))
     named = cut(owned.join(lowest, "comp").select("node", "component"))
-    out = table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.col("node").alias("class_id"))
+    out = table.select("doc_id", F.col("n").alias("n_shingles"), "node", "text_id").join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.col("node").alias("class_id"), "text_id")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose doc_id is not the smallest of their component. Texts without words are linked with
-    nothing and stay; so do rows with a null doc_id, and every row that repeats the doc_id that stays. Columns are those of
-    docs."""
+    nothing and stay; so do rows with a null doc_id, and every row that repeats the doc_id and text that stay. Of rows that
+    share a doc_id but not the text each is judged for itself. Columns are those of docs."""
     found = jaccard_components(docs, k, percent, id_col, text_col)
-    name = fresh(docs, "__gone")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
+    name, text = fresh(docs, "__gone"), fresh(docs, "__text")
+    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias(name), F.col("text_id").alias(text)).distinct())
+    return docs.join(small(gone), (F.col(f"`{id_col}`").cast("long") == F.col(name)) & (text_id(F.col(f"`{text_col}`")) == F.col(text)), "left_anti")

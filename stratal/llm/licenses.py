@@ -72,7 +72,7 @@ LICENSES = [
     ("psf-2.0", r"python software foundation licen[sc]e(?:,? ?(?:version|v\.?)? ?2(?:\.0)?)?|psf licen[sc]e", "python software|psf licen", r"docs\.python\.org/3/license"),
     ("ruby", r"ruby licen[sc]e", "ruby licen", r"ruby-lang\.org/en/about/license"),
     ("postgresql", r"postgresql licen[sc]e", "postgresql", r"opensource\.org/licenses?/postgresql"),
-    ("ncsa", r"university of illinois/?ncsa open source licen[sc]e|ncsa open source licen[sc]e", "ncsa", r"otm\.illinois\.edu/(?:uiuc_openSource|disclose-protect)"),
+    ("ncsa", r"university of illinois/?ncsa open source licen[sc]e|ncsa open source licen[sc]e", "ncsa", r"otm\.illinois\.edu/(?:uiuc_opensource|disclose-protect)"),
     ("eupl-1.1", r"european union public licen[sc]e,? ?(?:version|v\.?)? ?1\.1|eupl,? ?(?:v\.?)? ?1\.1", "european union public|eupl", r"joinup\.ec\.europa\.eu/.{0,40}eupl-1\.1"),
     ("eupl-1.2", r"european union public licen[sc]e,? ?(?:version|v\.?)? ?1\.2|eupl,? ?(?:v\.?)? ?1\.2", "european union public|eupl", r"joinup\.ec\.europa\.eu/.{0,40}eupl"),
     ("osl-3.0", r"open software licen[sc]e,? ?(?:version|v\.?)? ?3\.0", "open software licen", r"opensource\.org/licenses?/osl-3\.0"),

@@ -83,12 +83,21 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return ranked.withColumn("epochs", epochs).withColumn("quota", quota).withColumn("taken", F.col("epochs") * F.col("size") + part).drop("source_key", "bucket", "start", "mean_weight", "rows", "u")
 
 
+def row_parts(docs: DataFrame) -> list:
+    """What a hash of the whole row takes in. A hash function skips nulls, so the places of nulls are a part of their own, and
+    nested values, maps too, stand as JSON."""
+    plain = lambda f: F.col(f"`{f.name}`")
+    nested = lambda f: f.dataType.typeName() in ("map", "array", "struct", "variant")
+    nulls = F.concat(F.lit(""), *(F.when(plain(f).isNull(), "0").otherwise("1") for f in docs.schema))
+    return [nulls, *(F.to_json(F.struct(plain(f).alias("v"))) if nested(f) else plain(f) for f in docs.schema)]
+
+
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with each row repeated as often as the mix takes it, whole: a document across a quota's end is taken when
     at least half of it lies below. Columns are those of docs."""
     rid, copies = fresh(docs, "__rid"), fresh(docs, "__copies")
-    every = [F.col(f"`{c}`") for c in docs.columns]
     # a 128-bit hash of the whole row names it: the same however often the input is read
+    every = row_parts(docs)
     keyed = docs.withColumn(rid, F.concat(F.hex(F.xxhash64(*every)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *every))))
     plan = mix_plan(keyed, id_col, text_col, source_col, keep=(rid,))
     half = F.col("before") + F.floor((F.col("size") + 1) / 2) <= F.col("quota")

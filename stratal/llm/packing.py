@@ -39,17 +39,16 @@ class _Encoder:
     Texts with characters on whose class libraries differ, and texts with special tokens, go through the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, spec_json: str):
         import json
 
         import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_str(spec_json)
         self.model = self.tok.model
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(spec_json)
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.chunked = spec["model"].get("end_of_word_suffix") == "</w>" and steps[0]["type"] == "Split"
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.chunked else None
@@ -74,7 +73,8 @@ class _Encoder:
         return self.pattern.findall(chunk.lower()) if self.plain.fullmatch(chunk) else None
 
     def _piece(self, piece: str) -> bytes:
-        symbols = piece if piece.isascii() else self.to_symbols(piece)[0][0]
+        # printable ASCII stands for itself; all other bytes have symbols of their own
+        symbols = piece if piece.isascii() and piece.isprintable() else self.to_symbols(piece)[0][0]
         ids = [t.id for t in self.model.tokenize(symbols)]
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.pieces) >= CACHE_ENTRIES:
@@ -103,10 +103,14 @@ class _Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32)."""
+    """Rows (doc_id, piece, start, length, ids_crc32). The tokenizer's file is read on the driver and sent to the executors."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec_json = f.read()
+    name = f"encoder_{zlib.crc32(spec_json.encode('utf-8'))}"
+    sent = docs.sparkSession.sparkContext.broadcast(spec_json)  # one vocabulary: a few MB
 
     def run(batches):
-        encode = worker_state("encoder_" + tokenizer_path, lambda: _Encoder(tokenizer_path))
+        encode = worker_state(name, lambda: _Encoder(sent.value))
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

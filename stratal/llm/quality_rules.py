@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_WS, cut, small, unspaced, words
@@ -112,8 +112,9 @@ def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     passes = [F.struct(F.lit(name).alias("rule"), sum((F.when(rate <= c, 1).otherwise(0) for c in grid(name)), F.lit(0)).alias("passed")) for name, rate in rates().items()]
     counts = held.select("stratum", F.explode(F.array(*passes)).alias("x")).groupBy("stratum", "x.rule", "x.passed").agg(F.count(F.lit(1)).alias("c"))
     profile = counts.groupBy("stratum", "rule").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("passed", "c"))).alias("by"))  # <= GRID_STEPS + 1 entries
-    strata = F.size(F.collect_set("stratum").over(Window.partitionBy())).cast("double")
-    tested = profile.withColumn("alpha", F.lit(level) / (len(RULES) * strata)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(GRID_STEPS))))
+    profile = cut(profile)
+    strata = max(1, profile.select("stratum").distinct().count())
+    tested = profile.withColumn("alpha", F.lit(level / (len(RULES) * strata))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(GRID_STEPS))))
     below = F.aggregate(F.filter(F.map_entries("by"), lambda e: e["key"] < F.col("step")), F.lit(0).cast("long"), lambda a, e: a + e["value"])
     tested = tested.withColumn("k", below).withColumn("p_value", binomial_tail(F.col("n"), F.col("k"), risk))
     firsts = tested.groupBy("stratum", "rule").agg(F.coalesce(F.min(F.when(F.col("p_value") > F.col("alpha"), F.col("step"))), F.lit(GRID_STEPS + 1)).alias("failed"))

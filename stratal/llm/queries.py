@@ -77,7 +77,7 @@ SELECT doc_id, size, source_size, target,
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir)).drop("class_id")
+    return jaccard_components(documents(spark, sf_dir)).drop("class_id", "text_id")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

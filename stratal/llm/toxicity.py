@@ -27,7 +27,7 @@ from .training import BoostedTrees, isotonic, labelled_sample
 PARTS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 PER_CLASS = 4000  # labelled documents of each class that training uses at most
-LEXICON_SIZE = 4000
+LEXICON_SIZE = 4000  # size of the model, like the number of trees
 MIN_TOXIC_DOCS = 3
 MIN_LOG_ODDS = 1.2
 NEAR = 4
@@ -41,6 +41,7 @@ idiotin dumm dummkopf arschloch scheisse scheiße abschaum wertlos widerlich dre
 idiote stupide imbécile ordure connard salope merde putain nul dégoûtant""".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes vosotros tú ti".split()
 
+_PARTS = re.compile(r"[^\W_]+")
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 _OBFUSCATED = re.compile(r"[A-Za-z][@$*0-9!][A-Za-z@$*]")
 _STRETCHED = re.compile(r"([A-Za-z!?])\1\1")
@@ -52,6 +53,16 @@ def beginnings(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in range(3, min(7, len(word)) + 1))]
 
 
+def entries(chunk: str) -> set[str]:
+    """What of a run without white space may be in the lexicon: the run without its edges, and the words inside it."""
+    word = _STRIP.sub("", chunk.lower())
+    if not word:
+        return set()
+    if word.isalnum():
+        return set(beginnings(word))
+    return {f for part in (word, *_PARTS.findall(word)) for f in beginnings(part)}
+
+
 def select_entries(counts: list[tuple], without: int | None) -> dict[str, float]:
     """Log-odds of the entries that go with the label; counts are (entry, toxic by fold, clean by fold), one fold left out.
 
@@ -76,7 +87,7 @@ def entry_counts(sample: DataFrame) -> list[tuple]:
         for pdf in batches:
             found = Counter()
             for text, cell in zip(pdf["text"], 2 * pdf["fold"] + pdf["y"], strict=True):
-                own = {f for w in {_STRIP.sub("", c.lower()) for c in text.split()} if w for f in beginnings(w[:40])}
+                own = {f for c in set(text.split()) for f in entries(c)}
                 own.add("")  # counts the documents
                 found.update((f, int(cell)) for f in own)
             yield pd.DataFrame([(f, cell, n) for (f, cell), n in found.items()], columns=["entry", "cell", "n"])
@@ -101,9 +112,8 @@ class Features:
         self.cache: dict[str, float] = {}
 
     def _weight(self, chunk: str) -> float:
-        word = _STRIP.sub("", chunk.lower())
         get = self.lexicon.get
-        out = max((get(f, 0.0) for f in beginnings(word[:40])), default=0.0) if word else 0.0
+        out = max((get(f, 0.0) for f in entries(chunk)), default=0.0)
         if len(self.cache) >= CACHE_ENTRIES:
             self.cache.clear()
         self.cache[chunk] = out

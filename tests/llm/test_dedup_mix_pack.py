@@ -43,6 +43,27 @@ def test_dropping_keeps_one_row_each_and_all_columns(spark):
     assert sorted(r.doc_id for r in rows) == [2, 6, 7, 9, 10]
 
 
+def test_dropping_with_the_names_used_inside(spark):
+    docs = awkward(spark)
+    for c in ("__sha", "__maybe", "__row", "__block", "__bits", "__bits_", "block", "bits", "pos", "c0", "rid", "n", "b"):
+        docs = docs.withColumn(c, F.lit(c))
+    out = drop_exact_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == [2, 6, 7, 9, 10]
+    assert all(r["__bits"] == "__bits" and r["c0"] == "c0" for r in out.collect())
+    assert mark_exact_duplicates(docs).count() == docs.count()
+
+
+def test_a_full_filter_changes_no_result(spark):
+    docs = awkward(spark).unionByName(table(spark, [(100 + i, f"text {i % 3000}", "z") for i in range(4000)]))
+    key = lambda r: (str(r.doc_id), r.keep_id, r.group_size, r.kept, r.text_sha256)
+    full = mark_exact_duplicates(docs, filter_bits=1)
+    assert sorted(map(key, full.collect())) == sorted(map(key, mark_exact_duplicates(docs).collect()))
+    assert drop_exact_duplicates(docs, filter_bits=1).count() == 3000 + 5
+    plan = drop_exact_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_exact_dedup_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mark_exact_duplicates(empty).collect() == []
@@ -105,6 +126,21 @@ def test_mixed_documents_are_whole_and_near_target(spark):
         assert abs(got[s] - t) <= 17
 
 
+def test_rows_that_differ_only_in_the_place_of_a_null_are_mixed_each(spark):
+    rows = [(1, "one two three four", None, "q"), (1, "one two three four", "q", None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other string")
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.col("other"))).withColumn("a", F.array("source", "other")).withColumn("s", F.struct("other", "source"))
+    out = mix_documents(docs)
+    assert out.columns == docs.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        assert (r.source, r.other) in {(None, "q"), ("q", None)} and r.m == {"k": r.other}
+        got[r.source] += len(r.text.split())
+    want = water_fill({None: 8, "q": 8})
+    for s, t in want.items():
+        assert abs(got[s] - t) <= 4
+
+
 def test_mix_empty(spark):
     assert mix_plan(spark.createDataFrame([], SCHEMA)).collect() == []
     assert mix_documents(spark.createDataFrame([], SCHEMA)).collect() == []
@@ -157,7 +193,24 @@ def test_solver_packs_every_item_and_close_to_the_bound(counts):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abcAB '.,!19é́ßİÑñÄŉſŸªº²\xad\xa0 \n\t\x1c<|>endoftxΣς")), max_size=60))
 def test_encoder_equals_the_tokenizer(text):
+    check_encoder(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs"]), max_size=60))
+def test_encoder_equals_the_tokenizer_on_any_characters(text):
+    check_encoder(text)
+
+
+def test_encoder_on_every_low_code_point():
+    for i in range(0x3000):
+        check_encoder("ab" + chr(i) + "cd " + chr(i))
+
+
+def check_encoder(text):
     global ENC
-    ENC = globals().get("ENC") or _Encoder(tokenizer_path())
+    if "ENC" not in globals():
+        with open(tokenizer_path(), encoding="utf-8") as f:
+            ENC = _Encoder(f.read())
     want = np.array(ENC.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     assert ENC(text) == want

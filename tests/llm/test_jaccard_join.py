@@ -73,6 +73,12 @@ def test_one_of_each_group_stays(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(want)
 
 
+def test_rows_that_share_an_id_are_judged_each(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = table(spark, [(1, a, "s"), (5, a, "s"), (5, b, "s"), (7, b, "s")])
+    assert sorted((r.doc_id, r.text[0]) for r in drop_near_duplicates(docs).collect()) == [(1, "a"), (5, "b")]
+
+
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
