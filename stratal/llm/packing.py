@@ -13,6 +13,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -26,12 +27,19 @@ from .common import cut, worker_state
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_ENTRIES = 600_000  # of each of a worker's two caches, which are emptied when full
+CACHE_ENTRIES = 250_000  # of each of a worker's two caches, which are emptied when full
 ROWS_PER_RANK_GROUP = 20_000
 UNUSUAL = r"[\x1c-\x1f\x85\u180e\u200b\u2028\u2029\ufeff]|<\|"
 PLAIN = r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u0148\u014a-\u017e]+"  # composed characters with simple lower case
 
 
+def split_pattern(spec_json: str) -> str | None:
+    """The pattern by which the tokenizer cuts pieces, if pieces end words and never cross white space."""
+    spec = json.loads(spec_json)
+    step = (spec["pre_tokenizer"].get("pretokenizers") or [{"type": ""}])[0]
+    return step["pattern"]["Regex"] if spec["model"].get("end_of_word_suffix") == "</w>" and step["type"] == "Split" else None
+
+
 class _Encoder:
     """ids of a text by the tokenizer, from caches over white-space chunks and their pieces.
 
@@ -39,19 +47,15 @@ class _Encoder:
     Texts with characters on whose class libraries differ, and texts with special tokens, go through the tokenizer whole.
     """
 
-    def __init__(self, spec_json: str):
-        import json
-
+    def __init__(self, spec_json: str, pattern: str | None):
         import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_str(spec_json)
         self.model = self.tok.model
-        spec = json.loads(spec_json)
-        steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.chunked = spec["model"].get("end_of_word_suffix") == "</w>" and steps[0]["type"] == "Split"
-        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.chunked else None
+        self.chunked = pattern is not None
+        self.pattern = regex.compile(pattern) if self.chunked else None
         self.unusual = regex.compile(UNUSUAL)
         self.plain = regex.compile(PLAIN)
         self.to_symbols = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -107,10 +111,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     with open(tokenizer_path, encoding="utf-8") as f:
         spec_json = f.read()
     name = f"encoder_{zlib.crc32(spec_json.encode('utf-8'))}"
+    pattern = split_pattern(spec_json)
     sent = docs.sparkSession.sparkContext.broadcast(spec_json)  # one vocabulary: a few MB
 
     def run(batches):
-        encode = worker_state(name, lambda: _Encoder(sent.value))
+        encode = worker_state(name, lambda: _Encoder(sent.value, pattern))
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratal.llm.exact_dedup import drop_exact_duplicates, mark_exact_duplicates
 from stratal.llm.mixing import mix_documents, mix_plan
-from stratal.llm.packing import _Encoder, pack, solve
+from stratal.llm.packing import _Encoder, pack, solve, split_pattern
 from stratal.llm.queries import tokenizer_path
 
 from .fixtures import SCHEMA, awkward, table
@@ -211,6 +211,7 @@ def check_encoder(text):
     global ENC
     if "ENC" not in globals():
         with open(tokenizer_path(), encoding="utf-8") as f:
-            ENC = _Encoder(f.read())
+            spec = f.read()
+        ENC = _Encoder(spec, split_pattern(spec))
     want = np.array(ENC.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     assert ENC(text) == want
