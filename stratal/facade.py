@@ -6,9 +6,6 @@ Writes that need a second look raise ConfirmationNeeded with a token; the same c
 from __future__ import annotations
 
 import hashlib
-import time
-from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +20,6 @@ from stratal.plans.patterns import match_axioms as _match
 from stratal.sources import export, store
 from stratal.sources.ontology import Ontology
 
-RETRIES, FIRST_WAIT, LONGEST_WAIT = 5, 0.05, 1.0
 DEFAULT_MATCHES = 100
 
 
@@ -42,24 +38,6 @@ def _need(confirm: str | None, message: str, *parts: object) -> None:
         raise ConfirmationNeeded(message, token)
 
 
-def _retried(fn: Callable) -> Callable:
-    """Again, from a fresh read, when another session committed first."""
-
-    @wraps(fn)
-    def run(*a, **k):
-        wait = FIRST_WAIT
-        for left in range(RETRIES - 1, -1, -1):
-            try:
-                return fn(*a, **k)
-            except store.Conflict:
-                if not left:
-                    raise
-                time.sleep(wait)
-                wait = min(2 * wait, LONGEST_WAIT)
-
-    return run
-
-
 def _read(spark: SparkSession, path: str) -> Ontology:
     return store.load(spark, path)[0]
 
@@ -69,7 +47,8 @@ def _scope(o: Ontology, within: str | None) -> tuple:
 
 
 def _save(s: store.Session, o: Ontology, into: str, kind: str, found: DataFrame, item: str, mode: str, source: str) -> int:
-    """found becomes a selection in its own order; returns its size."""
+    """found becomes a selection in its own order; returns its size. s.previous_size has that of the one it replaces."""
+    s.previous_size = se.size_of(o, into)
     items = found.select(F.monotonically_increasing_id().alias("ord"), F.col(item).alias("item"))
     s.ontology = se.upsert_selection(o, into, kind, items, mode, source)
     s.commit()
@@ -98,7 +77,7 @@ def export_jsonl(spark: SparkSession, path: str, output_path: str, within: str |
     return export.export_jsonl(_read(spark, path), store.check_workspace(output_path), within)
 
 
-@_retried
+@store.retried
 def add_axioms(spark: SparkSession, path: str, axioms: list[dict | m.Node]) -> dict[str, int]:
     if not axioms:
         raise c.QueryError("at least one axiom")
@@ -111,7 +90,7 @@ def add_axioms(spark: SparkSession, path: str, axioms: list[dict | m.Node]) -> d
     return {"added": added, "skipped": len(nodes) - added}
 
 
-@_retried
+@store.retried
 def remove_axioms(spark: SparkSession, path: str, hashes: list[str] | None = None, selection: str | None = None, confirm: str | None = None) -> dict[str, int]:
     with store.session(spark, path) as s:
         o = s.ontology
@@ -130,7 +109,7 @@ def remove_axioms(spark: SparkSession, path: str, hashes: list[str] | None = Non
     return out
 
 
-@_retried
+@store.retried
 def annotate_axiom(spark: SparkSession, path: str, hash_prefix: str, add: tuple = (), remove: tuple = ()) -> dict:
     if not add and not remove:
         raise c.QueryError("at least one change")
@@ -141,7 +120,7 @@ def annotate_axiom(spark: SparkSession, path: str, hash_prefix: str, add: tuple
     return {"hash": h, **done}
 
 
-@_retried
+@store.retried
 def replace_axiom(spark: SparkSession, path: str, hash_prefix: str, axiom: dict | m.Node) -> dict:
     new = axiom if isinstance(axiom, m.Node) else m.parse(axiom)
     with store.session(spark, path) as s:
@@ -151,7 +130,7 @@ def replace_axiom(spark: SparkSession, path: str, hash_prefix: str, axiom: dict
     return {"hash": m.content_hash(new), "outcome": outcome}
 
 
-@_retried
+@store.retried
 def rename_iri(spark: SparkSession, path: str, old: str, new: str, within: str | None = None, into: str | None = None, mode: str = "create", confirm: str | None = None) -> dict[str, int]:
     with store.session(spark, path) as s:
         o = s.ontology
@@ -169,14 +148,14 @@ def rename_iri(spark: SparkSession, path: str, old: str, new: str, within: str |
     return {k: counts.get(k, 0) for k in ("replaced", "merged", "noop")}
 
 
-@_retried
+@store.retried
 def find_axioms(spark: SparkSession, path: str, into: str, query: str | None = None, properties: tuple = (), within: str | None = None, mode: str = "create") -> int:
     with store.session(spark, path) as s:
         found = q.search_axioms(s.ontology, query, properties, within)
         return _save(s, s.ontology, into, "axiom", found, "hash", mode, f"find_axioms({query}, {properties}, {within})")
 
 
-@_retried
+@store.retried
 def match_axioms(spark: SparkSession, path: str, pattern: dict, into: str, within: str | None = None, limit: int = DEFAULT_MATCHES, mode: str = "create") -> dict:
     with store.session(spark, path) as s:
         found = _match(s.ontology, pattern, limit, _scope(s.ontology, within))
@@ -184,7 +163,7 @@ def match_axioms(spark: SparkSession, path: str, pattern: dict, into: str, withi
     return {"size": n, "truncated": n == limit}
 
 
-@_retried
+@store.retried
 def find_entities(spark: SparkSession, path: str, into: str, query: str | None = None, role: str | None = None, namespace: str | None = None, declared: bool | None = None, properties: tuple = (), within: str | None = None, exclude_deprecated: bool = True, mode: str = "create") -> int:
     with store.session(spark, path) as s:
         found = q.search_entities(s.ontology, query, role, namespace, declared, properties, within, exclude_deprecated)
@@ -192,7 +171,7 @@ def find_entities(spark: SparkSession, path: str, into: str, query: str | None =
         return _save(s, s.ontology, into, "entity", found, "entity_iri", mode, source)
 
 
-@_retried
+@store.retried
 def get_entity(spark: SparkSession, path: str, iri: str, within: str | None = None, into: str | None = None, mode: str = "create") -> dict[str, DataFrame]:
     """Roles, annotations and (scoped) axiom counts; unknown entities raise with up to three near names."""
     with store.session(spark, path) as s:
@@ -206,7 +185,7 @@ def get_entity(spark: SparkSession, path: str, iri: str, within: str | None = No
     return {"roles": q.entity_roles(o, iri), "annotations": q.entity_annotations(o, iri), "axioms": q.entity_axiom_counts(o, iri, *scope)}
 
 
-@_retried
+@store.retried
 def find_duplicate_entities(spark: SparkSession, path: str, into: str, annotation_property: str = "rdfs:label", within: str | None = None, mode: str = "create") -> int:
     with store.session(spark, path) as s:
         groups = q.duplicate_entities(s.ontology, annotation_property, within)
@@ -214,7 +193,7 @@ def find_duplicate_entities(spark: SparkSession, path: str, into: str, annotatio
         return _save(s, s.ontology, into, "entity", found, "iri", mode, f"find_duplicate_entities({annotation_property}, {within})")
 
 
-@_retried
+@store.retried
 def set_prefix(spark: SparkSession, path: str, name: str, iri: str, confirm: str | None = None) -> dict:
     with store.session(spark, path) as s:
         s.ontology, about = mu.set_prefix(s.ontology, name, iri)
@@ -224,30 +203,34 @@ def set_prefix(spark: SparkSession, path: str, name: str, iri: str, confirm: str
     return about
 
 
-@_retried
+@store.retried
 def remove_prefix(spark: SparkSession, path: str, name: str) -> None:
     with store.session(spark, path) as s:
         s.ontology = mu.remove_prefix(s.ontology, name)
         s.commit()
 
 
-@_retried
-def create_selection(spark: SparkSession, path: str, name: str, expr, mode: str = "create") -> int:
+@store.retried
+def create_selection(spark: SparkSession, path: str, name: str, expr, mode: str = "create") -> dict[str, int | None]:
+    """The size of the new selection, and that of the one it replaces (None without one)."""
     with store.session(spark, path) as s:
+        before = se.size_of(s.ontology, name)
         s.ontology = se.create_selection(s.ontology, name, expr, mode)
         s.commit()
-        return s.ontology.selections[name].items.count()
+        return {"size": se.size_of(s.ontology, name), "previous_size": before}
 
 
-def read_selection(spark: SparkSession, path: str, name: str, limit: int = 20, offset: int = 0, show: str = "all") -> DataFrame:
-    return se.read_selection(_read(spark, path), name, show, limit, offset)
+def read_selection(spark: SparkSession, path: str, name: str, limit: int = 20, offset: int = 0, show: str = "all") -> dict[str, DataFrame]:
+    """A page of the selection's items, and its totals."""
+    o = _read(spark, path)
+    return {"items": se.selection_page(o, name, show, limit, offset), "totals": se.selection_totals(o, name, show)}
 
 
 def list_selections(spark: SparkSession, path: str) -> DataFrame:
     return se.list_selections(_read(spark, path))
 
 
-@_retried
+@store.retried
 def remove_selections(spark: SparkSession, path: str, names: tuple) -> list[str]:
     with store.session(spark, path) as s:
         s.ontology, missing = se.remove_selections(s.ontology, tuple(names))

@@ -31,13 +31,18 @@ def literal_text(value, datatype=None, lang=None) -> Column:
     return F.concat(F.lit('"'), value, F.lit('"@'), lang) if lang is not None else F.concat(F.lit('"'), value, F.lit('"^^'), datatype)
 
 
+def json_text(text) -> Column:
+    """Text as a JSON string, as in stored axioms: non-ASCII characters as they are."""
+    text = F.col(text) if isinstance(text, str) else text
+    whole = F.to_json(F.struct(text.alias("v")))
+    return whole.substr(F.lit(6), F.length(whole) - 6)
+
+
 def json_string(text) -> Column:
     """Text as a JSON string with non-ASCII escaped, as in the canonical form (characters beyond the BMP as two units)."""
-    text = F.col(text) if isinstance(text, str) else text
-    plain = F.to_json(F.struct(text.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(text.alias("v")))) - 6)
-    chars = F.split(plain, "")
-    escape = lambda c: F.when(c.rlike("^[\\x00-\\x7e]*$"), c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", "\\\\u$1"))
-    return F.when(plain.rlike("^[\\x00-\\x7e]*$"), plain).otherwise(F.array_join(F.transform(chars, escape), ""))
+    plain = json_text(text)
+    escape = lambda c: F.when(c <= "~", c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", "\\\\u$1"))
+    return F.when(plain.rlike("^[\\x00-\\x7e]*$"), plain).otherwise(F.array_join(F.transform(F.split(plain, ""), escape), ""))
 
 
 def selection_content_hash(items: DataFrame) -> DataFrame:

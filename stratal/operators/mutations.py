@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratal.functions.columns import prefix_of
 from stratal.plans import model as m
-from stratal.plans.constraints import QueryError
+from stratal.plans.constraints import QueryError, selection_items
 from stratal.sources.ontology import Ontology, axiom_rows, from_axioms, stored_json
 
 RELATIONS = ("mentions", "entity_text", "axiom_text", "nodes")
@@ -44,7 +44,7 @@ def add_rows(o: Ontology, rows: DataFrame) -> tuple[Ontology, DataFrame]:
     new = new.join(o.axioms.select("hash"), "hash", "left_anti")
     part = from_axioms(new, o.prefixes)
     grown = {r: getattr(o, r).unionByName(getattr(part, r)) for r in RELATIONS}
-    return replace(o, axioms=o.axioms.unionByName(new), **grown), new
+    return o.changed_by("add", new, axioms=o.axioms.unionByName(new), **grown), new
 
 
 def add_axioms(o: Ontology, axioms: list[m.Node]) -> tuple[Ontology, DataFrame]:
@@ -55,7 +55,7 @@ def add_axioms(o: Ontology, axioms: list[m.Node]) -> tuple[Ontology, DataFrame]:
 def remove(o: Ontology, hashes: DataFrame) -> Ontology:
     """o without the axioms of the column hash, and without what is derived from them."""
     gone = hashes.select("hash").distinct()
-    return replace(o, **{r: getattr(o, r).join(gone, "hash", "left_anti") for r in ("axioms", *RELATIONS)})
+    return o.changed_by("remove", gone, **{r: getattr(o, r).join(gone, "hash", "left_anti") for r in ("axioms", *RELATIONS)})
 
 
 def remove_by_hash(o: Ontology, hashes: list[str]) -> Ontology:
@@ -68,9 +68,7 @@ def remove_by_hash(o: Ontology, hashes: list[str]) -> Ontology:
 
 def remove_by_selection(o: Ontology, name: str) -> tuple[Ontology, DataFrame]:
     """o without the selection's axioms, and (removed, absent) counts; the selection stays."""
-    if name not in o.selections or o.selections[name].kind != "axiom":
-        raise QueryError(f"{name} is no axiom selection")
-    items = o.selections[name].items.select(F.col("item").alias("hash")).distinct()
+    items = selection_items(o, name, "axiom").select(F.col("item").alias("hash")).distinct()
     there = items.join(o.axioms.select("hash").withColumn("hit", F.lit(1)), "hash", "left")
     counts = there.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("removed"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("absent"))
     return remove(o, items), counts

@@ -118,8 +118,40 @@ def with_presence(o: Ontology, name: str) -> DataFrame:
     return s.items.join(here, "item", "left").select("ord", "item", F.coalesce("hit", F.lit(False)).alias("present"))
 
 
+def size_of(o: Ontology, name: str) -> int | None:
+    """Items of a selection, None if there is none of that name."""
+    return o.selections[name].items.select("item").distinct().count() if name in o.selections else None
+
+
+def selection_totals(o: Ontology, name: str, show: str = "all") -> DataFrame:
+    """One row: kind, source, size, present, missing, and total_filtered, the items that show lets through."""
+    there = F.coalesce(F.sum(F.col("present").cast("long")), F.lit(0))
+    counts = with_presence(o, name).agg(F.count(F.lit(1)).alias("size"), there.alias("present"))
+    missing = F.col("size") - F.col("present")
+    total = {"all": F.col("size"), "present": F.col("present"), "missing": missing}
+    if show not in total:
+        raise QueryError(f"no filter: {show!r}")
+    s = o.selections[name]
+    return counts.select(F.lit(s.kind).alias("kind"), F.lit(s.source).alias("source"), "size", "present", missing.alias("missing"), total[show].alias("total_filtered"))
+
+
+def selection_page(o: Ontology, name: str, show: str = "all", limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of read_selection() with what is known of its items: of axioms type and data (null where missing), of entities
+    their sorted roles and label (empty and null where missing)."""
+    rows = read_selection(o, name, show, limit, offset)
+    if o.selections[name].kind == "axiom":
+        known = o.axioms.select(F.col("hash").alias("item"), "type", "data")
+        return rows.join(known, "item", "left").select("ord", "item", "present", "type", "data").orderBy("ord")
+    here = rows.where("present").select(F.col("item").alias("entity_iri"))
+    roles = o.mentions.where("role IS NOT NULL").join(here, "entity_iri", "left_semi").groupBy(F.col("entity_iri").alias("item")).agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    labels = o.entity_text.where("property = 'rdfs:label'").join(here, "entity_iri", "left_semi").groupBy(F.col("entity_iri").alias("item")).agg(F.min("text").alias("label"))
+    known = rows.join(roles, "item", "left").join(labels, "item", "left")
+    none = F.array().cast("array<string>")  # roles: a closed list of names
+    return known.select("item", "present", F.coalesce("roles", none).alias("roles"), "label").orderBy("item")
+
+
 def read_selection(o: Ontology, name: str, show: str = "all", limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Axioms in insertion order, entities in IRI order; show is all, present or missing."""
+    """(ord, item, present): axioms in insertion order, entities in IRI order; show is all, present or missing."""
     rows = with_presence(o, name)
     if show not in ("all", "present", "missing"):
         raise QueryError(f"no filter: {show!r}")

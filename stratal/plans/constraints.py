@@ -28,6 +28,10 @@ class SelectionNotFound(KeyError):
     """A constraint names no selection of that kind."""
 
 
+class SelectionKindMismatch(QueryError):
+    """A selection of axioms where one of entities is asked for, or the other way round."""
+
+
 def _values(xs) -> tuple:
     out = tuple(sorted(set(xs)))
     if not out:
@@ -103,8 +107,10 @@ class InEntitySelection:
 
 def selection_items(o: Ontology, name: str, kind: str) -> DataFrame:
     found = o.selections.get(name)
-    if found is None or found.kind != kind:
+    if found is None:
         raise SelectionNotFound(name)
+    if found.kind != kind:
+        raise SelectionKindMismatch(f"{name} is a selection of {found.kind} items, not of {kind} items")
     return found.items
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratal.plans.constraints import WithTypes, axiom_table
-from stratal.plans.model import ModelError
+from stratal.plans.model import IRI, ModelError
 from stratal.plans.spec import AXIOMS, EXPRESSION_HOLDERS, EXPRESSIONS, FIELDS
 from stratal.sources.ontology import Ontology
 
@@ -124,6 +124,19 @@ class _Compiler:
         return df
 
 
+def concrete_terms(pattern: Pattern) -> list[str]:
+    """IRIs that every match mentions: slots that are neither variables nor literals, at any depth."""
+    out: list[str] = []
+    kinds = {f[0]: f[1] for f in FIELDS[pattern.tag]}
+    for name, slots in pattern.fields.items():
+        for x in slots if isinstance(slots, tuple) else (slots,):
+            if isinstance(x, Pattern):
+                out += concrete_terms(x)
+            elif kinds[name] in ("iri", "ce", "value") and x != "*" and not x.startswith(("?", '"')) and IRI.match(x):
+                out.append(x)
+    return list(dict.fromkeys(out))
+
+
 def match_bindings(o: Ontology, pattern: dict, within: tuple = ()) -> DataFrame:
     """(hash, v_<name>...) of every match: an axiom pattern matches axioms, an expression pattern any nested expression."""
     p = parse_pattern(pattern)
@@ -133,6 +146,11 @@ def match_bindings(o: Ontology, pattern: dict, within: tuple = ()) -> DataFrame:
     else:
         roots = o.nodes.where((F.col("kind") == "expr") & (F.col("tag") == p.tag))
         types = (WithTypes(EXPRESSION_HOLDERS),)
+    terms = concrete_terms(p)
+    if terms:  # axioms that mention them all, found in the relation that files keep sorted by IRI
+        wanted = o.mentions.where(F.col("entity_iri").isin(*terms)).select("hash", "entity_iri").distinct()
+        wanted = wanted.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("hash")
+        roots = roots.join(wanted, "hash", "left_semi")
     c = _Compiler(o.nodes)
     found = c.fields(roots.select("hash", F.col("node_id").alias("root_id")), "root_id", p)
     if within:

@@ -15,8 +15,10 @@ from stratal.plans import constraints as c
 from stratal.plans import model as m
 from stratal.plans.patterns import match_axioms, match_bindings
 from stratal.sources.export import export_lines
-from stratal.sources.fixture import ontology, oracle_prefix
-from stratal.sources.ontology import Ontology, axiom_rows
+from stratal.sources import store
+from stratal.sources.fixture import constants, ontology, oracle_prefix
+from stratal.sources.fixture_sql import axiom_text_sql, entity_text_sql, mention_sql
+from stratal.sources.ontology import Ontology
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,9 +27,9 @@ ORACLES: dict[str, str] = {}
 SELECTIONS = """,
 ents_a AS (SELECT unnest(range(10)) AS ord, 'nation:n' || unnest(range(10)) AS item),
 ents_b AS (SELECT unnest(range(15)) AS ord, 'nation:n' || (2 * unnest(range(15))) AS item),
-axs_a AS (SELECT row_number() OVER (ORDER BY hash) - 1 AS ord, hash AS item FROM ax WHERE type = 'ObjectPropertyAssertion'
+axs_a AS MATERIALIZED (SELECT row_number() OVER (ORDER BY hash) - 1 AS ord, hash AS item FROM ax WHERE type = 'ObjectPropertyAssertion'
           AND data LIKE '{"property":"tpch:inRegion"%'),
-drifted AS (SELECT ord, item FROM axs_a UNION ALL SELECT 1000000, repeat('0', 64) UNION ALL SELECT 1000001, repeat('f', 64))
+drifted AS MATERIALIZED (SELECT ord, item FROM axs_a UNION ALL SELECT 1000000, repeat('0', 64) UNION ALL SELECT 1000001, repeat('f', 64))
 """
 
 
@@ -198,8 +200,6 @@ def find_entities_mentioned_in(o):
 
 
 def _hash_of(tag: str) -> str:
-    from stratal.sources.fixture import constants
-
     return next(m.content_hash(a) for a in constants() if a.tag == tag)
 
 
@@ -311,14 +311,60 @@ def local_name_text(o):
     return o.entity_text.where("property = 'local_name'").select("entity_iri", "property", "text")
 
 
-@query("SELECT entity_iri, role, position, count(*) AS n FROM ae GROUP BY ALL")
+# ---- whole relations of the table axioms, against a mapping that is written apart --------------------------------
+
+
+def of_tables(relation: DataFrame) -> DataFrame:
+    """A relation without the rows of the constant axioms."""
+    fixed = [m.content_hash(a) for a in constants()]
+    return relation.where(~F.col("hash").isin(*fixed))
+
+
+def plain(fn: Callable[[Ontology], DataFrame], sql: str) -> None:
+    """Register a function of the ontology whose oracle needs no common tables."""
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(ontology(spark, sf_dir))
+    ORACLES[fn.__name__] = sql
+
+
 def mention_rows(o):
-    return o.mentions.groupBy("entity_iri", "role", "position").agg(F.count(F.lit(1)).alias("n"))
+    return of_tables(o.mentions).select("hash", "entity_iri", "role", "position")
+
+
+def entity_text_rows(o):
+    return of_tables(o.entity_text).select("hash", "entity_iri", "property", "text")
 
 
-@query("SELECT property, count(*) AS n, count(DISTINCT hash) AS axioms FROM axt GROUP BY property")
 def axiom_text_rows(o):
-    return o.axiom_text.groupBy("property").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("axioms"))
+    return of_tables(o.axiom_text).select("hash", "property", "text")
+
+
+plain(mention_rows, mention_sql())
+plain(entity_text_rows, entity_text_sql())
+plain(axiom_text_rows, axiom_text_sql())
+
+
+def parsed(o: Ontology, what: Callable[[m.Node], str], name: str) -> DataFrame:
+    """(hash, name) of every axiom, read back from its stored JSON."""
+
+    def run(batches):
+        import json
+
+        for pdf in batches:
+            yield pdf[["hash"]].assign(**{name: [what(m.parse(json.loads(d))) for d in pdf["data"]]})
+
+    return o.axioms.select("hash", "data").mapInPandas(run, f"hash string, {name} string")
+
+
+@query("SELECT hash, hash AS again FROM ax")
+def content_hashes(o):
+    """Hashes of the canonical form of every stored axiom."""
+    return parsed(o, m.content_hash, "again")
+
+
+@query("SELECT hash, type AS tag FROM ax")
+def structural_dispatch(o):
+    """The type of every stored axiom as its field names tell."""
+    return parsed(o, lambda a: a.tag, "tag")
 
 
 # ---- patterns: the oracle asks the source tables -------------------------------------------------------------------
@@ -499,16 +545,6 @@ def export_lines_scoped(o):
     return export_lines(o, within="axs_a")
 
 
-def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes from the driver's canonical form for every nation's declaration."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").count()
-    return axiom_rows(spark, [m.make("Declaration", entity_type="NamedIndividual", iri=f"nation:n{i}") for i in range(n)]).select("hash")
-
-
-QUERIES["content_hashes"] = content_hashes
-ORACLES["content_hashes"] = "SELECT sha256('{\"entity_type\":\"NamedIndividual\",\"iri\":\"nation:n' || n_nationkey || '\"}') AS hash FROM nation"
-
-
 @query("SELECT name, 'http://example.org/' || name || '#' AS namespace_iri FROM (SELECT unnest(['tpch','region','nation','supp','cust','part','brand','ptype','seg','bpart','order','doc','REGION']) AS name)")
 def list_prefixes(o):
     return mu.list_prefixes(o)
@@ -524,10 +560,10 @@ def set_prefix(o):
 @query(
     """, hit AS (SELECT hash, replace(data, '"nation:n0"', '"nation:n1"') AS moved FROM ax WHERE hash IN (SELECT hash FROM ae WHERE entity_iri = 'nation:n0')),
     post AS (SELECT type, data FROM ax WHERE hash NOT IN (SELECT hash FROM hit) UNION SELECT ax.type, hit.moved FROM hit JOIN ax ON ax.hash = hit.hash)
-    SELECT type, count(DISTINCT data) AS n FROM post WHERE type <> 'AnnotationAssertion' GROUP BY type"""
+    SELECT type, count(DISTINCT data) AS n FROM post GROUP BY type"""
 )
 def rename_iri_state(o):
-    return q.count_axioms_by_type(mu.rename_iri(o, "nation:n0", "nation:n1")[0]).where("type != 'AnnotationAssertion'")
+    return q.count_axioms_by_type(mu.rename_iri(o, "nation:n0", "nation:n1")[0])
 
 
 @query("SELECT split_part(entity_iri, ':', 1) AS prefix, substr(entity_iri, instr(entity_iri, ':') + 1) AS local_name, count(*) AS n FROM ae GROUP BY ALL")
@@ -553,3 +589,177 @@ def rendered_axioms(o):
 def export_counts(o):
     n, size = export_lines(o, within="drifted").agg(F.count(F.lit(1)).alias("exported")), o.selections["drifted"].items.agg(F.count(F.lit(1)).alias("size"))
     return n.join(F.broadcast(size)).select("exported", (F.col("size") - F.col("exported")).alias("skipped"))  # one row each
+
+
+# ---- point lookups, scopes, errors ---------------------------------------------------------------------------------
+
+
+def outcome(fn: Callable[[], object]) -> str:
+    """The name of the error that fn ends in, or what it gives."""
+    try:
+        return str(fn())
+    except Exception as e:  # noqa: BLE001  the error is the result
+        return type(e).__name__
+
+
+def outcomes(o: Ontology, cases: dict[str, Callable[[], object]]) -> DataFrame:
+    return o.spark.createDataFrame([(k, outcome(fn)) for k, fn in cases.items()], "case string, result string")
+
+
+def literal_rows(pairs: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS \"case\", '{v}' AS result" for k, v in pairs.items())
+
+
+@query("""SELECT 'label' AS "case", 'AnnotationAssertion(rdfs:label, nation:n3, "' || n_name || '"^^xsd:string)' AS result FROM nation WHERE n_nationkey = 3 UNION ALL """ + literal_rows({"absent": "NotFound"}))
+def load_axiom_by_hash(o):
+    h = m.content_hash(m.make("AnnotationAssertion", property="rdfs:label", subject="nation:n3", value=m.Literal(o.axioms.where("data LIKE '%rdfs:label%nation:n3\"%'").first()["data"].split('"value":"')[1].split('"')[0], "xsd:string")))
+    return outcomes(o, {"label": lambda: m.render(mu.load_axiom(o, h)), "absent": lambda: mu.load_axiom(o, "0" * 64)})
+
+
+@query(literal_rows({"none": "NotFound", "several": "QueryError"}) + " UNION ALL SELECT 'one', hash FROM ax WHERE type = 'HasKey'")
+def hash_prefix_matches(o):
+    return outcomes(o, {"none": lambda: mu.resolve_hash_prefix(o, "0" * 40), "several": lambda: mu.resolve_hash_prefix(o, ""), "one": lambda: mu.resolve_hash_prefix(o, _hash_of("HasKey")[:20])})
+
+
+@query(literal_rows({"absent": "SelectionNotFound", "kind": "SelectionKindMismatch", "other_kind": "SelectionKindMismatch", "scope": "SelectionNotFound", "union": "QueryError", "offset": "QueryError", "upsert_kind": "QueryError", "exists": "QueryError", "damaged": "QueryError"}))
+def scope_errors(o):
+    from dataclasses import replace
+
+    bad = replace(o, axioms=o.spark.createDataFrame([("0" * 64, "HasKey", '{"class_expression":')], "hash string, type string, data string"))
+    items = o.selections["ents_a"].items
+    return outcomes(
+        o,
+        {
+            "absent": lambda: q.find_axioms(o, c.InAxiomSelection("nothing")),
+            "kind": lambda: q.find_axioms(o, c.InAxiomSelection("ents_a")),
+            "other_kind": lambda: q.find_entities(o, c.InEntitySelection("axs_a")),
+            "scope": lambda: q.resolve_within(o, "nothing"),
+            "union": lambda: se.evaluate(o, ("union", "ents_a", "axs_a")),
+            "offset": lambda: q.find_axioms(o, offset=3),
+            "upsert_kind": lambda: se.upsert_selection(o, "axs_a", "entity", items, "replace"),
+            "exists": lambda: se.upsert_selection(o, "ents_a", "entity", items),
+            "damaged": lambda: mu.load_axiom(bad, "0" * 64),
+        },
+    )
+
+
+@query("SELECT type, count(*) AS n FROM ax WHERE EXISTS (SELECT 1 FROM ae WHERE ae.hash = ax.hash AND ae.entity_iri IN (SELECT item FROM ents_a)) GROUP BY ROLLUP (type)")
+def summarize_axioms_scoped(o):
+    return q.summarize_axioms(o, q.resolve_within(o, "ents_a"))
+
+
+@query("SELECT hash, type, data FROM ax WHERE type = 'Declaration'")
+def stream_axioms(o):
+    return o.spark.createDataFrame([tuple(r) for r in q.stream_axioms(o, c.WithTypes(("Declaration",)))], "hash string, type string, data string")
+
+
+@query("SELECT sha256('{\"sub_class\":\"part:p7\",\"super_class\":{\"filler\":\"brand:' || p_brand || '\",\"property\":\"tpch:hasBrand\"}}') AS hash, 'ObjectSomeValuesFrom(tpch:hasBrand, brand:' || p_brand || ')' AS v_e FROM part WHERE p_partkey = 7 UNION ALL SELECT sha256('{\"sub_class\":\"part:p7\",\"super_class\":\"ptype:' || p_type || '\"}'), 'ptype:' || p_type FROM part WHERE p_partkey = 7")
+def match_binds_expressions(o):
+    return match_bindings(o, {"type": "SubClassOf", "sub_class": "part:p7", "super_class": "?e"})
+
+
+@query("SELECT sha256('{\"entity_type\":\"Class\",\"iri\":\"part:p' || p_partkey || '\"}') AS hash, 'part:p' || p_partkey AS v_x FROM part")
+def match_enum_slot(o):
+    return match_bindings(o, {"type": "Declaration", "entity_type": "Class", "iri": "?x"})
+
+
+# ---- selections as they are read and kept -------------------------------------------------------------------------
+
+
+@query("SELECT d.item, ax.hash IS NOT NULL AS present, ax.type, ax.data FROM drifted AS d LEFT JOIN ax ON ax.hash = d.item")
+def read_axiom_selection(o):
+    return se.selection_page(o, "drifted").drop("ord")
+
+
+@query(
+    """SELECT item, item IN (SELECT entity_iri FROM ae) AS present,
+    coalesce((SELECT string_agg(DISTINCT role, ',' ORDER BY role) FROM ae WHERE ae.entity_iri = item), '') AS roles,
+    CASE WHEN item IN (SELECT entity_iri FROM ae) THEN (SELECT min(text) FROM et WHERE et.entity_iri = item AND property = 'rdfs:label') END AS label
+    FROM ents_b ORDER BY item LIMIT 11 OFFSET 3"""
+)
+def read_entity_selection(o):
+    return se.selection_page(o, "ents_b", limit=11, offset=3).withColumn("roles", F.array_join("roles", ","))
+
+
+@query(
+    """SELECT 'drifted' AS name, count(*) AS size, count(*) - 2 AS present, 2 AS missing, 2 AS total_filtered FROM drifted UNION ALL
+    SELECT 'ents_b', count(*), count(*) FILTER (item IN (SELECT entity_iri FROM ae)), count(*) FILTER (item NOT IN (SELECT entity_iri FROM ae)), count(*) FILTER (item IN (SELECT entity_iri FROM ae)) FROM ents_b"""
+)
+def read_selection_totals(o):
+    asked = {"drifted": "missing", "ents_b": "present"}
+    rows = [se.selection_totals(o, name, show).select(F.lit(name).alias("name"), "size", "present", "missing", "total_filtered") for name, show in asked.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@query("SELECT DISTINCT hash AS item, 'diff(axioms_for(ents_a), axs_a)' AS source FROM ae WHERE entity_iri IN (SELECT item FROM ents_a) AND hash NOT IN (SELECT item FROM axs_a)")
+def create_selection_from_expression(o):
+    o = se.create_selection(o, "made", ("diff", ("axioms_for", "ents_a"), "axs_a"))
+    return se.read_selection(o, "made").select("item", F.lit(o.selections["made"].source).alias("source"))
+
+
+@query("SELECT 10 AS previous_size, count(*) AS size FROM ents_b")
+def replace_selection(o):
+    before = se.size_of(o, "ents_a")
+    o = se.create_selection(o, "ents_a", "ents_b", "replace")
+    return o.spark.createDataFrame([(before, se.size_of(o, "ents_a"))], "previous_size bigint, size bigint")
+
+
+@query("SELECT 'axiom' AS kind, 'drifted' AS name, count(*) AS size FROM drifted UNION ALL SELECT 'entity', 'ents_b', 15 UNION ALL SELECT 'absent', 'nothing', 0")
+def remove_selections(o):
+    o, absent = se.remove_selections(o, ("axs_a", "ents_a", "nothing"))
+    gone = o.spark.createDataFrame([("absent", x, 0) for x in absent], "kind string, name string, size bigint")
+    return se.list_selections(o).select("kind", "name", "size").unionByName(gone)
+
+
+# ---- mutations, further outcomes ----------------------------------------------------------------------------------
+
+
+@query("SELECT type, count(*) AS n FROM ax WHERE type NOT IN ('HasKey', 'TransitiveObjectProperty') GROUP BY type UNION ALL SELECT 'NotFound', 1")
+def remove_by_hash(o):
+    left = mu.remove_by_hash(o, [_hash_of("HasKey"), _hash_of("TransitiveObjectProperty"), _hash_of("HasKey")])
+    error = outcomes(o, {"x": lambda: mu.remove_by_hash(o, [_hash_of("HasKey"), "0" * 64])})
+    return q.count_axioms_by_type(left).unionByName(error.select(F.col("result").alias("type"), F.lit(1).cast("bigint").alias("n")))
+
+
+@query("SELECT 'noop' AS outcome, count(*) AS n FROM ax UNION ALL SELECT 'merged', count(*) - 1 FROM ax")
+def replace_axiom_outcomes(o):
+    same = mu.replace_axiom(o, _hash_of("HasKey"), next(a for a in constants() if a.tag == "HasKey"))
+    into = mu.replace_axiom(o, _hash_of("TransitiveObjectProperty"), next(a for a in constants() if a.tag == "ReflexiveObjectProperty"))
+    rows = [x.axioms.agg(F.lit(said).alias("outcome"), F.count(F.lit(1)).alias("n")) for x, said in (same, into)]
+    return rows[0].unionByName(rows[1])
+
+
+@query("SELECT name, 'http://example.org/' || name || '#' AS namespace_iri FROM (SELECT unnest(['tpch','region','nation','supp','cust','part','brand','ptype','seg','bpart','order','doc','REGION']) AS name) UNION ALL SELECT 'in use', 'QueryError' UNION ALL SELECT 'absent', 'NotFound'")
+def remove_prefix(o):
+    more, _ = mu.set_prefix(o, "zz", "http://zz.org/")
+    errors = outcomes(o, {"in use": lambda: mu.remove_prefix(o, "tpch"), "absent": lambda: mu.remove_prefix(o, "zz")})
+    return mu.remove_prefix(more, "zz").prefixes.unionByName(errors.toDF("name", "namespace_iri"))
+
+
+# ---- a stored snapshot ---------------------------------------------------------------------------------------------
+
+
+def stored(o: Ontology) -> Ontology:
+    """o written to a store, then a commit that adds axioms and one that removes some, read again."""
+    path = store.scratch(o.spark, "store")
+    store.create(o.spark, path)
+    with store.session(o.spark, path) as s:
+        s.ontology = o
+        s.commit()
+    with store.session(o.spark, path) as s:
+        s.ontology, _ = mu.add_axioms(s.ontology, _batch())
+        s.commit()
+    with store.session(o.spark, path) as s:
+        s.ontology = mu.remove_by_hash(s.ontology, [_hash_of("HasKey")])
+        s.commit()
+    return store.load(o.spark, path)[0]
+
+
+@query("SELECT type, count(*) AS n FROM (SELECT type FROM ax WHERE type <> 'HasKey' UNION ALL SELECT 'SubClassOf' UNION ALL SELECT 'EquivalentClasses') GROUP BY type")
+def stored_snapshot_types(o):
+    return q.count_axioms_by_type(stored(o))
+
+
+@query("SELECT hash, type, data FROM ax WHERE hash IN (SELECT hash FROM ae WHERE entity_iri IN ('nation:n3', 'tpch:Order')) AND type <> 'HasKey' UNION ALL SELECT sha256('{\"sub_class\":\"tpch:New\",\"super_class\":\"tpch:Order\"}'), 'SubClassOf', '{\"sub_class\":\"tpch:New\",\"super_class\":\"tpch:Order\"}' UNION ALL SELECT sha256('{\"equivalent_classes\":[\"tpch:New\",{\"operands\":[\"tpch:Customer\",\"tpch:Order\"]}]}'), 'EquivalentClasses', '{\"equivalent_classes\":[\"tpch:New\",{\"operands\":[\"tpch:Order\",\"tpch:Customer\"]}]}'")
+def stored_snapshot_lookup(o):
+    return q.list_axioms(stored(o), c.MentionsAny(("nation:n3", "tpch:Order")))

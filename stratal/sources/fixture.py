@@ -11,6 +11,7 @@ from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratal.functions.columns import json_string, json_text
 from stratal.plans import model as m
 from stratal.plans.model import Literal, Node, Sql, make
 from stratal.plans.spec import FIELDS
@@ -122,8 +123,21 @@ def leaf(x) -> str:
     return x.text if isinstance(x, Sql) else _quote(x)
 
 
+FREE_TEXT = "text"  # a column of any text; its JSON forms stand beside it, for they are written apart in either dialect
+TEXT_FORMS = {True: "text_canonical", False: "text_stored"}
+# DuckDB's forms of a text as a JSON string: as stored, and with every character but printable ASCII escaped
+DUCK_STORED = "CAST(to_json(text) AS VARCHAR)"
+DUCK_UNIT = "'\\u' || lpad(lower(to_hex({})), 4, '0')"
+DUCK_CANONICAL = (
+    "array_to_string(list_transform(regexp_extract_all(" + DUCK_STORED + ", '(?s).'), lambda c: CASE WHEN c BETWEEN ' ' AND '~' THEN c WHEN ord(c) < 65536 THEN "
+    + DUCK_UNIT.format("ord(c)") + " ELSE " + DUCK_UNIT.format("55296 + ((ord(c) - 65536) >> 10)") + " || " + DUCK_UNIT.format("56320 + ((ord(c) - 65536) & 1023)") + " END), '')"
+)
+
+
 def _json(x, canonical: bool) -> tuple[str, str]:
     """(SQL of the JSON text, SQL of the sort key) of a value."""
+    if isinstance(x, Sql) and x.text == FREE_TEXT:
+        return TEXT_FORMS[canonical], TEXT_FORMS[canonical]
     cat = lambda pieces: "(" + " || ".join(pieces) + ")"
     if x is True:
         return "'true'", "'true'"
@@ -162,14 +176,12 @@ def _json(x, canonical: bool) -> tuple[str, str]:
 
 
 def is_text(a: Node) -> bool:
-    """Templates with free text: named by a surrogate hash, their JSON is not built in SQL."""
-    return a.tag == "AnnotationAssertion" and a.values["property"] == "rdfs:comment" and isinstance(a.values["value"].value, Sql)
+    """Templates over the column of free text."""
+    return a.tag == "AnnotationAssertion" and isinstance(a.values["value"], Literal) and a.values["value"].value == Sql(FREE_TEXT)
 
 
 def hashed(src: str, a: Node, sha: Callable[[str], str]) -> str:
     """SELECT of the source's columns with hash, type and data."""
-    if is_text(a):
-        return f"SELECT *, {sha('(' + _quote('doc-text:') + ' || doc_id)')} AS hash, '{a.tag}' AS type, {_quote('')} AS data FROM ({src}) AS src"
     return f"SELECT *, {sha(_json(a, True)[0])} AS hash, '{a.tag}' AS type, {_json(a, False)[0]} AS data FROM ({src}) AS src"
 
 
@@ -196,6 +208,10 @@ def ontology(spark: SparkSession, sf_dir: str) -> Ontology:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         parts: dict[str, list[DataFrame]] = {k: [] for k in ("axioms", "mentions", "entity_text", "axiom_text", "nodes")}
         for src, a in table_templates():
+            if is_text(a):
+                texts = spark.sql(src)
+                texts.select("*", json_text("text").alias(TEXT_FORMS[False]), json_string("text").alias(TEXT_FORMS[True])).createOrReplaceTempView("texts_with_json")
+                src = "SELECT * FROM texts_with_json"
             base = spark.sql(hashed(src, a, lambda x: f"sha2({x}, 256)"))
             parts["axioms"].append(base.select("hash", "type", "data"))
             for name, (cols, found) in rows(a).items():
@@ -234,11 +250,13 @@ def oracle_prefix() -> str:
     ctes, parts = [], {"ax": [], "ae": [], "et": [], "axt": []}
     names = {"mentions": "ae", "entity_text": "et", "axiom_text": "axt"}
     for i, (src, a) in enumerate(templates()):
+        if is_text(a):
+            src = f"SELECT *, {DUCK_STORED} AS {TEXT_FORMS[False]}, {DUCK_CANONICAL} AS {TEXT_FORMS[True]} FROM ({src}) AS s"
         ctes.append(f"t{i} AS ({hashed(src, a, lambda x: f'sha256({x})')})")
         parts["ax"].append(f"SELECT hash, type, data FROM t{i}")
         for name, (cols, found) in rows(a).items():
             if name in names:
                 for r in found:
                     parts[names[name]].append("SELECT hash, " + ", ".join(f"{v} AS {c}" for c, v in zip(cols, r, strict=True)) + f" FROM t{i}")
-    ctes += [f"{k} AS ({' UNION ALL '.join(v)})" for k, v in parts.items()]
+    ctes += [f"{k} AS MATERIALIZED ({' UNION ALL '.join(v)})" for k, v in parts.items()]
     return "WITH " + ",\n".join(ctes)

@@ -38,11 +38,19 @@ class Ontology:
     nodes: DataFrame
     prefixes: DataFrame
     selections: dict[str, Selection] = field(default_factory=dict)
+    # what led here from the version of a store that was read: ("add", axioms) and ("remove", hashes), and the axioms they lead to
+    changes: tuple = ()
+    changed: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.axioms.sparkSession
 
+    def changed_by(self, kind: str, rows: DataFrame, **relations: DataFrame) -> Ontology:
+        """With other relations, and a note of how the axioms came to be, so that a store may write that alone."""
+        changes = (*self.changes, (kind, rows)) if self.changed is self.axioms else (("unknown", None),)
+        return replace(self, changes=changes, changed=relations["axioms"], **relations)
+
     def with_selection(self, name: str, selection: Selection) -> Ontology:
         return replace(self, selections=self.selections | {name: selection})
 

@@ -11,8 +11,9 @@ from stratal.sources import store
 
 def ingest_axioms(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Start adding the stream's rows (hash, type, data) to the store. A batch that is run again after a failure adds
-    nothing twice, for adding skips hashes that are stored."""
+    nothing twice, for adding skips hashes that are stored; one that loses a race reads again."""
 
+    @store.retried
     def add(batch: DataFrame, _: int) -> None:
         with store.session(batch.sparkSession, path) as s:
             s.ontology, _new = add_rows(s.ontology, batch)

@@ -245,6 +245,54 @@ def test_store_sessions_and_conflicts(spark, tmp_path):
     assert store.load(spark, path, 0)[0].axioms.count() == 0
 
 
+def test_commits_write_what_is_new(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    f.create_ontology(spark, path)
+    f.set_prefix(spark, path, "ex", "http://ex.org/")
+    f.add_axioms(spark, path, [sub(f"ex:A{i}", "ex:B") for i in range(2000)])
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "store").rglob("*") if p.is_file())
+    whole = size()
+    before = store.load(spark, path)[0]
+    assert f.add_axioms(spark, path, [sub("ex:New", "ex:B"), sub("ex:A3", "ex:B")]) == {"added": 1, "skipped": 1}
+    assert size() - whole < 40_000
+    h = m.content_hash(sub("ex:New", "ex:B"))
+    f.annotate_axiom(spark, path, h[:20], add=(("rdfs:comment", m.Literal("hi", None, "en")),))
+    f.remove_axioms(spark, path, [m.content_hash(sub("ex:A5", "ex:B"))])
+    assert size() - whole < 200_000
+    o, manifest = store.load(spark, path)
+    assert [next(iter(x)) for x in manifest["steps"]] == ["add", "add", "add", "remove", "add", "remove"]
+    assert o.axioms.count() == 2000 and o.mentions.where("entity_iri = 'ex:A5'").isEmpty()
+    assert o.axiom_text.collect() == [(h, "rdfs:comment", "hi")] and before.axioms.count() == 2000
+    for name in ("mentions", "nodes", "entity_text"):  # as if derived from what is left
+        again = getattr(from_axioms(o.axioms, o.prefixes), name)
+        assert sorted(map(str, again.collect())) == sorted(map(str, getattr(o, name).collect()))
+    monkeypatch.setattr(store, "COMPACT_STEPS", 3)
+    f.add_axioms(spark, path, [sub("ex:Last", "ex:B")])
+    o, manifest = store.load(spark, path)
+    assert len(manifest["steps"]) == 1 and o.axioms.count() == 2001
+    assert not list((tmp_path / "store").glob("draft-*"))
+
+
+def test_selections_of_the_other_kind_are_told_from_absent_ones(spark):
+    o = build(spark, [sub("ex:A", "ex:B")])
+    o = se.upsert_selection(o, "e", "entity", spark.createDataFrame([(0, "ex:A")], "ord bigint, item string"))
+    with pytest.raises(c.SelectionKindMismatch):
+        q.find_axioms(o, c.InAxiomSelection("e"))
+    with pytest.raises(c.SelectionKindMismatch):
+        mu.remove_by_selection(o, "e")
+    with pytest.raises(c.SelectionNotFound):
+        q.find_axioms(o, c.InAxiomSelection("none"))
+
+
+def test_concrete_terms_prune_a_pattern():
+    from stratal.plans.patterns import concrete_terms, parse_pattern
+
+    p = parse_pattern({"type": "SubClassOf", "sub_class": "?x", "super_class": {"type": "ObjectSomeValuesFrom", "property": "ex:p", "filler": {"type": "ObjectIntersectionOf", "operands": ["ex:A", "*", "ex:p"]}}})
+    assert concrete_terms(p) == ["ex:p", "ex:A"]
+    assert concrete_terms(parse_pattern({"type": "AnnotationAssertion", "property": "rdfs:label", "subject": "*", "value": '"ex:v"@en'})) == ["rdfs:label"]
+    assert concrete_terms(parse_pattern({"type": "Declaration", "entity_type": "Class", "iri": "*"})) == []
+
+
 def test_facade(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "store")
     f.create_ontology(spark, path)
@@ -253,8 +301,12 @@ def test_facade(spark, tmp_path, monkeypatch):
     assert f.find_entities(spark, path, "found", query="alpha") == 2
     assert f.find_duplicate_entities(spark, path, "dups") == 2
     assert f.match_axioms(spark, path, {"type": "SubClassOf", "sub_class": "*", "super_class": "*"}, "subs", limit=2) == {"size": 2, "truncated": True}
-    assert f.create_selection(spark, path, "about", ("axioms_for", "found")) == 5
-    assert f.read_selection(spark, path, "subs").count() == 2 and f.list_selections(spark, path).count() == 4
+    assert f.create_selection(spark, path, "about", ("axioms_for", "found")) == {"size": 5, "previous_size": None}
+    assert f.create_selection(spark, path, "about", ("diff", "about", "subs"), mode="replace") == {"size": 3, "previous_size": 5}
+    page = f.read_selection(spark, path, "subs", limit=1)
+    assert [x["type"] for x in page["items"].collect()] == ["SubClassOf"] and page["totals"].first().asDict() == {"kind": "axiom", "source": "match_axioms(SubClassOf, None)", "size": 2, "present": 2, "missing": 0, "total_filtered": 2}
+    assert [(x["item"], x["roles"], x["label"]) for x in f.read_selection(spark, path, "found")["items"].collect()] == [("ex:A", ["Class"], "Alpha"), ("ex:B", ["Class"], "Alpha")]
+    assert f.list_selections(spark, path).count() == 4
     got = f.get_entity(spark, path, "ex:A")
     assert {r["role"] for r in got["roles"].collect()} == {"Class"}
     with pytest.raises(mu.NotFound, match="ex:A"):
@@ -262,7 +314,8 @@ def test_facade(spark, tmp_path, monkeypatch):
     with pytest.raises(f.ConfirmationNeeded) as need:
         f.remove_axioms(spark, path, selection="subs")
     assert f.remove_axioms(spark, path, selection="subs", confirm=need.value.token) == {"removed": 2, "absent": 0}
-    assert f.read_selection(spark, path, "subs", show="missing").count() == 2
+    gone = f.read_selection(spark, path, "subs", show="missing")
+    assert [(x["present"], x["data"]) for x in gone["items"].collect()] == [(False, None)] * 2 and gone["totals"].first()["total_filtered"] == 2
     with pytest.raises(f.ConfirmationNeeded) as need:
         f.rename_iri(spark, path, "ex:A", "ex:B")
     assert f.rename_iri(spark, path, "ex:A", "ex:B", confirm=need.value.token) == {"replaced": 1, "merged": 1, "noop": 0}
