@@ -1,9 +1,10 @@
 """License scans: ordered signature rules with a keyword prefilter, priorities and interval containment.
 
-Every license has up to four rules, from strong to weak: an SPDX tag, a grant ("licensed under ..."), an address, and a
-mention of its name. A text is searched for the rules' keywords by one automaton first; only rules whose keyword occurs
-are tried. Names may be wrapped: white space is folded for the search, and SPDX expressions are read id by id. Of overlapping detections, one that lies inside another of the same or higher priority is dropped (of equal
-spans the earlier rule stays). The base labels (mit, apache, gpl) come from consecutive words and always stay.
+The signatures are written by hand: names of licenses, sentences of their texts, addresses, and notices that name none. A name
+gives up to four rules, from strong to weak: an SPDX tag, a grant ("licensed under ..."), an address, and a mention. A text
+is searched for the rules' keywords by one automaton first; only rules whose keyword occurs are tried. Names may be wrapped:
+white space is folded for the search, and SPDX expressions are read id by id. Of overlapping detections, one that lies inside
+another of the same or higher priority is dropped (of equal spans the earlier rule stays). The base labels (mit, apache, gpl) come from consecutive words and always stay.
 
 Defined cases: null text counts as empty (no words, no labels, score 0, null first_word and last_word); a null doc_id is
 carried; rows repeated whole are scanned each; an empty table gives an empty result.
@@ -92,8 +93,107 @@ CC_KINDS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
 CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 _CC_WORDS = {"by": "attribution", "sa": "share ?-?alike", "nd": "no ?-?deriv(?:ative)?s?(?: works)?", "nc": "non ?-?commercial"}
 GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|redistribute it) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
-KIND_SCORE = {"spdx": 0.99, "grant": 0.95, "address": 0.9, "mention": 0.75, "notice": 0.6}
-PRIORITY = {"spdx": 4, "grant": 3, "address": 2, "mention": 1, "notice": 0}
+KIND_SCORE = {"spdx": 0.99, "grant": 0.95, "address": 0.9, "text": 0.85, "mention": 0.75, "notice": 0.6}
+PRIORITY = {"spdx": 4, "grant": 3, "address": 2, "text": 2, "mention": 1, "notice": 0}
+# fixed values: (label, sentence of the license's text or notice as a pattern, keywords)
+SENTENCES = [
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "any person obtaining a copy"),
+    ("mit", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies or substantial portions of the software", "substantial portions of the software"),
+    ("x11", r"except as contained in this notice, the names? of .{1,80}? shall not be used in advertising", "except as contained in this notice"),
+    ("isc", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions of source code"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary form"),
+    ("bsd-3-clause", r"neither the names? of .{1,100}? nor the names of (?:its|their) contributors may be used to endorse or promote products", "nor the names of"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "all advertising materials"),
+    ("apache-2.0", r"you may not use this file except in compliance with the licen[sc]e", "except in compliance"),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing, software distributed under the licen[sc]e", "required by applicable law"),
+    ("apache-2.0", r"subject to the terms and conditions of this licen[sc]e, each contributor hereby grants to you a perpetual", "each contributor hereby grants"),
+    ("apache-2.0", r"licensed to the apache software foundation \(asf\) under one or more contributor licen[sc]e agreements", "contributor licen"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "software developed by the apache"),
+    ("gpl", r"this program is distributed in the hope that it will be useful, but without any warranty", "in the hope that it will be useful"),
+    ("gpl", r"you should have received a copy of the gnu general public licen[sc]e", "should have received a copy"),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", "should have received a copy"),
+    ("agpl-3.0", r"you should have received a copy of the gnu affero general public licen[sc]e", "should have received a copy"),
+    ("gpl-2.0", r"the licenses for most software are designed to take away your freedom to share and change it", "take away your freedom"),
+    ("gpl-2.0", r"you may not copy, modify, sublicense, or distribute the program except as expressly provided under this licen[sc]e", "sublicense, or distribute the program"),
+    ("gpl-3.0", r"is a free, copyleft licen[sc]e for software and other kinds of works", "free, copyleft"),
+    ("gpl-3.0", r"you may convey verbatim copies of the program.s source code as you receive it", "convey verbatim copies"),
+    ("lgpl-2.1", r"this licen[sc]e, the lesser general public licen[sc]e, applies to some specially designated software packages", "specially designated software"),
+    ("lgpl-3.0", r"this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3", "incorporates the terms and conditions"),
+    ("agpl-3.0", r"your modified version must prominently offer all users interacting with it remotely through a computer network", "interacting with it remotely"),
+    ("gfdl", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[sc]e", "modify this document under the terms"),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[sc]e, v\. ?2\.0", "source code form is subject"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[sc]e version 1\.1", "contents of this file are subject"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse (?:public|distribution) licen[sc]e", "accompanying materials are made available"),
+    ("cddl-1.0", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", "contents of this file are subject"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "free and unencumbered"),
+    ("unlicense", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "anyone is free to copy"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document", "verbatim or modified copies"),
+    ("zlib", r"the origin of this software must not be misrepresented", "must not be misrepresented"),
+    ("zlib", r"altered source versions must be plainly marked as such", "altered source versions"),
+    ("bsl-1.0", r"to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e", "person or organization obtaining a copy"),
+    ("cc0-1.0", r"to the extent possible under law, .{1,120}? ha(?:s|ve) waived all copyright and related or neighbou?ring rights", "to the extent possible under law"),
+    ("cc0-1.0", r"has dedicated the work to the public domain by waiving all of (?:his or her|their) rights", "dedicated the work to the public domain"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font licen[sc]e", "font software is licensed"),
+    ("ofl-1.1", r"the fonts and derivatives, however, cannot be released under any other type of licen[sc]e", "fonts and derivatives"),
+    ("psf-2.0", r"psf is making python available to licensee on an .?as is.? basis", "making python available"),
+    ("openssl", r"this product includes software developed by the openssl project", "developed by the openssl"),
+    ("openssl", r"this product includes cryptographic software written by eric young", "written by eric young"),
+    ("php-3.01", r"this product includes php software", "includes php software"),
+    ("postgresql", r"for any purpose, without fee, and without a written agreement is hereby granted", "without a written agreement"),
+    ("hpnd", r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose(?: and without fee)? is hereby granted", "software and its documentation for any purpose"),
+    ("beerware", r"you can buy me a beer in return|beer-?ware licen[sc]e", "buy me a beer|beerware|beer-ware"),
+    ("json", r"the software shall be used for good, not evil", "used for good, not evil"),
+    ("blessing", r"may you do good and not evil", "do good and not evil"),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", "independent jpeg group"),
+    ("freetype", r"portions of this software are copyright .{1,40}? the freetype project|the freetype project licen[sc]e", "freetype project"),
+    ("vim", r"vim is charityware", "charityware"),
+    ("w3c", r"w3c(?:\(r\)|®)? software (?:notice and )?licen[sc]e", "w3c software|w3c(r) software|w3c® software"),
+    ("tcl", r"the authors hereby grant permission to use, copy, modify, distribute, and licen[sc]e this software and its documentation", "authors hereby grant permission"),
+    ("sspl-1.0", r"if you make the functionality of the program or a modified version available to third parties as a service", "functionality of the program"),
+    ("elastic-2.0", r"you may not provide the software to third parties as a hosted or managed service", "hosted or managed service"),
+    ("busl-1.1", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use", "non-production use"),
+    ("commons-clause", r"commons clause(?: licen[sc]e)? condition", "commons clause"),
+    ("polyform", r"polyform (?:noncommercial|shield|strict|small business|perimeter|free trial|internal use)", "polyform"),
+    ("confluent-community", r"confluent community licen[sc]e", "confluent community"),
+    ("hippocratic", r"hippocratic licen[sc]e", "hippocratic licen"),
+    ("anti-996", r"anti[ -]?996 licen[sc]e", "anti 996|anti-996|anti996"),
+    ("mulan-psl-2.0", r"mulan (?:psl|permissive software licen[sc]e),? ?(?:v|version )?2", "mulan psl|mulan permissive"),
+    ("cecill", r"cecill(?:-[bc])? (?:free software )?licen[sc]e|licence cecill", "cecill"),
+    ("ogl-uk", r"open government licen[sc]e", "open government"),
+    ("etalab", r"licence ouverte", "licence ouverte"),
+    ("dl-de", r"datenlizenz deutschland", "datenlizenz"),
+    ("cdla-permissive", r"community data licen[sc]e agreement.{0,4}permissive|cdla-permissive", "community data|cdla-permissive"),
+    ("cdla-sharing", r"community data licen[sc]e agreement.{0,4}sharing|cdla-sharing", "community data|cdla-sharing"),
+    ("llama-3", r"llama 3(?:\.[123])? community licen[sc]e", "llama 3"),
+    ("gemma", r"gemma terms of use", "gemma terms"),
+    ("bigscience-rail", r"bigscience (?:bloom )?rail licen[sc]e", "bigscience"),
+    ("apsl", r"apple public source licen[sc]e", "apple public source"),
+    ("nasa", r"nasa open source agreement", "nasa open source"),
+    ("qpl", r"q public licen[sc]e", "q public licen"),
+    ("sleepycat", r"sleepycat licen[sc]e", "sleepycat"),
+    ("rpl", r"reciprocal public licen[sc]e", "reciprocal public"),
+    ("cpal-1.0", r"common public attribution licen[sc]e", "common public attribution"),
+    ("lppl", r"latex project public licen[sc]e", "latex project public"),
+    ("unicode", r"unicode(?:, inc\.)? licen[sc]e(?: agreement)?", "unicode licen|unicode, inc. licen"),
+    ("icu", r"icu licen[sc]e", "icu licen"),
+    ("glwtpl", r"good luck with that (?:shit )?public licen[sc]e", "good luck with that"),
+    ("watcom", r"sybase open watcom public licen[sc]e", "open watcom"),
+    ("cua-opl", r"cua office public licen[sc]e", "cua office"),
+    ("nokia", r"nokia open source licen[sc]e", "nokia open source"),
+    ("sun-sissl", r"sun industry standards source licen[sc]e", "sun industry standards"),
+    ("spl", r"sun public licen[sc]e", "sun public licen"),
+    ("interbase", r"interbase public licen[sc]e", "interbase public"),
+    ("netscape", r"netscape public licen[sc]e", "netscape public"),
+    ("ofl-1.0", r"sil open font licen[sc]e,? ?(?:version|v\.?)? ?1\.0", "open font"),
+    ("odbl-1.0", r"any rights in individual contents of the database are licensed under the database contents licen[sc]e", "database contents licen"),
+    ("no-ai-training", r"(?:may not|must not|shall not) be used (?:to train|for training) (?:any )?(?:artificial intelligence|machine learning|ai|language) models?", "to train|for training"),
+    ("no-redistribution", r"redistribution(?:, in whole or in part,)? is (?:strictly )?(?:prohibited|forbidden|not permitted)", "redistribution"),
+    ("no-derivatives", r"no derivative works (?:are )?(?:allowed|permitted)", "no derivative works"),
+    ("personal-use", r"for personal(?:,? non-?commercial)? use only", "for personal"),
+    ("eula", r"end[ -]user licen[sc]e agreement", "end user licen|end-user licen"),
+    ("evaluation", r"(?:licensed )?for evaluation purposes only", "evaluation purposes"),
+]
 # fixed values: notices that name no license
 NOTICES = [
     ("all-rights-reserved", r"all rights reserved", "all rights reserved"),
@@ -109,7 +209,7 @@ NOTICES = [
 
 
 def rules() -> list[tuple[str, str, str, re.Pattern]]:
-    """(label, kind, keywords, pattern) in order of priority; over 200 of them."""
+    """(label, kind, keywords, pattern) in order of priority; over 400 of them."""
     table = list(LICENSES)
     for kind in CC_KINDS:
         for version in CC_VERSIONS:
@@ -124,6 +224,7 @@ def rules() -> list[tuple[str, str, str, re.Pattern]]:
         if address:
             out.append((label, "address", address.split("/")[0].replace("\\", ""), rf"(?:https?://)?(?:www\.)?{address}"))
         out.append((label, "mention", key, edge))
+    out += [(label, "text", key, rf"(?<![0-9a-z])(?:{sentence})(?![0-9a-z])") for label, sentence, key in SENTENCES]
     out += [(label, "notice", key, rf"(?<![0-9a-z])(?:{name})") for label, name, key in NOTICES]
     out.sort(key=lambda r: -PRIORITY[r[1]])
     return [(label, kind, key, re.compile(pattern)) for label, kind, key, pattern in out]

@@ -12,7 +12,7 @@ from .licenses import scan_licenses
 from .mixing import mix_plan
 from .packing import pack
 from .quality_mil import score_quality
-from .quality_rules import judge
+from .quality_rules import GRID_STEPS, LENGTH_BANDS, LEVEL, MAX_REPEAT_PERCENT, MIN_WORDS, RISK, RULES, SYMBOLS, grid, judge
 from .secrets import find_secrets
 from .substring_dedup import repeated_passages
 from .toxicity import score_toxicity
@@ -125,4 +125,26 @@ c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, l.b FROM
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM c WHERE c.a = d.doc_id) AS component_id
 FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_jaccard_join": OP5_SQL}
+OP6_SQL = rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+             list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS tri FROM w),
+t AS (SELECT rid, unnest(tri) AS g, generate_subscripts(tri, 1) AS i FROM l),
+twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM t),
+r AS (SELECT rid, count(DISTINCT i + d) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1 GROUP BY rid),
+m AS (SELECT l.doc_id, coalesce('=' || lang, '') || '/' || (CASE WHEN len(w) >= {LENGTH_BANDS[0]} THEN 1 ELSE 0 END + CASE WHEN len(w) >= {LENGTH_BANDS[1]} THEN 1 ELSE 0 END) AS stratum,
+             len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols,
+             len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN r ON r.rid = l.rid),
+v AS (SELECT *, [n_symbols / greatest(n_words, 1)::DOUBLE, n_dup_lines / greatest(n_lines, 1)::DOUBLE, n_repeat_words / greatest(n_words, 1)::DOUBLE,
+                 word_chars / greatest(n_words, 1)::DOUBLE, greatest(n_words, 1)::DOUBLE / greatest(word_chars, 1)::DOUBLE] AS rates FROM m),
+g AS (SELECT unnest(range(1, 6)) AS rule, unnest([{", ".join(str([f"{x!r}" for x in grid(name)]).replace("'", "") + "::DOUBLE[]" for name in RULES)}]) AS cuts),
+good AS (SELECT stratum, rates FROM v WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
+k AS (SELECT stratum, rule, step, any_value(cuts) AS cuts, count(*) AS n, count(*) FILTER (rates[rule] > cuts[step]) AS k FROM good, g, (SELECT unnest(range(1, {GRID_STEPS} + 1)) AS step) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k < n * {RISK} THEN least(1.0, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1.0 - {RISK}))))) ELSE 1.0 END AS p_value FROM k),
+f AS (SELECT stratum, rule, any_value(cuts) AS cuts, coalesce(min(step) FILTER (p_value > {LEVEL} / (5 * (SELECT count(DISTINCT stratum) FROM good))), {GRID_STEPS} + 1) AS failed FROM p GROUP BY stratum, rule),
+c AS (SELECT stratum, rule, cuts[failed - 1] AS cutoff FROM f WHERE failed > 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND NOT EXISTS (SELECT 1 FROM c WHERE c.stratum = v.stratum AND v.rates[c.rule] > c.cutoff) AS kept, stratum
+FROM v"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_quality_rules": OP6_SQL}

@@ -191,3 +191,65 @@ def test_trees_and_isotonic():
     assert auc(m.margin(x), y) > 0.98
     knots = isotonic(m.margin(x), y, np.ones(len(y)))
     assert (np.diff(knots[0]) >= 0).all() and (np.diff(knots[1]) >= 0).all() and 0 < knots[1].min() and knots[1].max() < 1
+
+
+def test_attention_against_loops_and_numeric_gradient():
+    from stratal.llm.quality_mil import AttentionModel
+
+    rng = np.random.default_rng(4)
+    model = AttentionModel(5)
+    sizes = [1, 4, 2, 7]
+    bags = [rng.normal(size=(n, 5)) for n in sizes]
+    y, w = np.array([1.0, 0.0, 0.0, 1.0]), np.array([0.1, 0.4, 0.2, 0.3])
+
+    def naive(bag):
+        p = model.p
+        h = [np.tanh(x @ p["E"] + p["e"]) for x in bag]
+        z = [sum(np.tanh(v @ p["V"]) * (1 / (1 + np.exp(-(v @ p["U"])))) * p["w"]) for v in h]
+        a = np.exp(z) / np.exp(z).sum()
+        return 1 / (1 + np.exp(-(sum(k * v for k, v in zip(a, h, strict=True)) @ p["c"] + p["d"][0])))
+
+    assert np.allclose(model.score(bags), [naive(b) for b in bags])
+    loss = lambda: -sum(v * (t * np.log(naive(b)) + (1 - t) * np.log(1 - naive(b))) for v, t, b in zip(w, y, bags, strict=True))
+    starts, bag = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(4), sizes)
+    for k, g in model._gradient(np.concatenate(bags), starts, bag, y, w).items():
+        for _ in range(6):
+            at = tuple(int(rng.integers(n)) for n in model.p[k].shape)
+            kept = model.p[k][at]
+            model.p[k][at] = kept + 1e-5
+            up = loss()
+            model.p[k][at] = kept - 1e-5
+            down = loss()
+            model.p[k][at] = kept
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-6, k
+
+
+def test_bags_cover_every_passage():
+    from stratal.llm.quality_mil import BAG, PASSAGE, passage_features, passages
+
+    words = [f"w{i % 97}" for i in range(PASSAGE * (3 * BAG + 5) + 7)]
+    every = np.array([passage_features(words[i : i + PASSAGE]) for i in range(0, len(words), PASSAGE)])
+    bag = np.array(passages(" ".join(words)))
+    assert len(bag) == BAG and len(passages(" ".join(words[: PASSAGE * BAG]))) == BAG
+    sizes = [len(x) for x in np.array_split(every, BAG)]
+    assert np.allclose(np.average(bag, axis=0, weights=sizes), every.mean(0))
+
+
+def test_toxicity_features_against_loops():
+    from stratal.llm.toxicity import INSULTS, NEAR, Features, entries
+
+    features = Features({"^zzt": 2.0, "qux": 1.0})
+    assert features("you idiot")[0] == 1.5 and features("a" * 60 + "qux")[0] == 0
+    for chunk in ("x/idiot.y", "IDIOT!!", "it-is-zztop", "(zztop)", "a" * 50 + "-qux"):
+        assert features(chunk)[2] == 1.0, chunk
+    assert "a" * 50 in entries("a" * 50)
+    rng = random.Random(3)
+    for _ in range(50):
+        chunks = [rng.choice(["you", "idiot", "fine", "QUX", "zzta", "ok!", "st@r", "soooo"]) for _ in range(rng.randrange(1, 30))]
+        x = features(" ".join(chunks))
+        weight = {"idiot": 3.0, "QUX": 1.0, "zzta": 2.0}
+        at = [i for i, c in enumerate(chunks) if c in weight]
+        near = sum("you" in chunks[max(0, i - NEAR) : i + NEAR + 1] for i in at)
+        assert x[0] == sum(weight[chunks[i]] for i in at) / len(chunks)
+        assert x[9] == sum(chunks[i] in INSULTS for i in at) and x[12] == near and x[2] == len({chunks[i] for i in at})
+        assert x[18] == sum(c == "st@r" for c in chunks) / len(chunks) and x[19] == sum(c == "soooo" for c in chunks) / len(chunks)
