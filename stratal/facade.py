@@ -188,9 +188,9 @@ def get_entity(spark: SparkSession, path: str, iri: str, within: str | None = No
 @store.retried
 def find_duplicate_entities(spark: SparkSession, path: str, into: str, annotation_property: str = "rdfs:label", within: str | None = None, mode: str = "create") -> int:
     with store.session(spark, path) as s:
-        groups = q.duplicate_entities(s.ontology, annotation_property, within)
-        found = groups.select(F.posexplode("iris").alias("pos", "iri"), "size", "text").groupBy("iri").agg(F.min(F.struct((-F.col("size")).alias("a"), "text", "pos")).alias("k")).orderBy("k")
-        return _save(s, s.ontology, into, "entity", found, "iri", mode, f"find_duplicate_entities({annotation_property}, {within})")
+        members = q.duplicate_members(s.ontology, annotation_property, within)
+        found = members.groupBy("entity_iri").agg(F.min(F.struct((-F.col("size")).alias("a"), "text", "entity_iri")).alias("k")).orderBy("k")
+        return _save(s, s.ontology, into, "entity", found, "entity_iri", mode, f"find_duplicate_entities({annotation_property}, {within})")
 
 
 @store.retried

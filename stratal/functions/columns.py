@@ -46,25 +46,48 @@ def json_string(text) -> Column:
 
 
 def selection_content_hash(items: DataFrame) -> DataFrame:
-    """One row: the order-independent 16-digit hash of the items. The items of a selection are listed in one row."""
-    listed = F.array_join(F.sort_array(F.collect_set("item")), SEPARATOR)
-    return items.agg(F.substring(F.sha2(listed, 256), 1, 16).alias("hash"), F.count_distinct("item").alias("size"))
+    """One row: the order-independent 16-digit hash of the items, and how many there are. The hash is over the sorted items
+    in turn, so one task streams through them; it never holds them all."""
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+
+        h, size = hashlib.sha256(), 0
+        for pdf in batches:
+            for x in pdf["item"]:
+                h.update((SEPARATOR * bool(size) + x).encode())
+                size += 1
+        yield pd.DataFrame({"hash": [h.hexdigest()[:16]], "size": [size]})
+
+    hashed = items.select("item").distinct().repartition(1).sortWithinPartitions("item").mapInPandas(run, "hash string, size long")
+    none = F.substring(F.sha2(F.lit(""), 256), 1, 16)
+    return hashed.agg(F.coalesce(F.max("hash"), none).alias("hash"), F.coalesce(F.max("size"), F.lit(0)).alias("size"))
+
+
+GROUP_DIGITS = 4
+
+
+def _common(a: str, b: str) -> Column:
+    """Digits that two hex columns share from the start; 0 where one is null."""
+    return F.coalesce(F.expr(f"aggregate(sequence(1, length({a})), 0, (n, i) -> CASE WHEN n = i - 1 AND substr({a}, i, 1) = substr({b}, i, 1) THEN i ELSE n END)"), F.lit(0))
 
 
 def disambiguating_prefixes(hashes: DataFrame) -> DataFrame:
     """(hash, prefix): the shortest prefix of each distinct hash that no other has; the whole hash if it is alone.
 
-    Neighbours in hash order decide. Hashes that share their first two digits are ordered together, so the order is made
-    by many tasks; across such groups one or two digits tell hashes apart, which the groups' first digits settle.
+    Neighbours in hash order decide. Hashes that share their first GROUP_DIGITS digits are ordered together, so the order is
+    made by many tasks; what a hash shares with other groups is at most their first digits, and there are at most 65536 groups.
     """
-    h = hashes.select("hash").distinct().withColumn("g", F.substring("hash", 1, 2))
+    h = hashes.select("hash").distinct().withColumn("g", F.substring("hash", 1, GROUP_DIGITS))
     w = Window.partitionBy("g").orderBy("hash")
-    common = lambda other: F.coalesce(F.expr(f"aggregate(sequence(1, length(hash)), 0, (a, i) -> CASE WHEN a = i - 1 AND substr(hash, i, 1) = substr({other}, i, 1) THEN i ELSE a END)"), F.lit(0))
     near = h.withColumn("prev", F.lag("hash").over(w)).withColumn("next", F.lead("hash").over(w))
-    near = near.withColumn("lcp", F.greatest(F.when(F.col("prev").isNotNull(), common("prev")).otherwise(0), F.when(F.col("next").isNotNull(), common("next")).otherwise(0)))
-    groups = h.groupBy(F.substring("hash", 1, 1).alias("d")).agg(F.count_distinct("g").alias("groups"))  # at most 16 rows
-    total = groups.agg(F.count(F.lit(1)).alias("digits"), F.sum("groups").alias("all_groups"))
-    near = near.join(F.broadcast(groups), F.substring("hash", 1, 1) == F.col("d")).join(F.broadcast(total))
-    lcp = F.greatest("lcp", F.when(F.col("groups") > 1, 1).otherwise(0))
-    alone = (F.col("all_groups") == 1) & F.col("prev").isNull() & F.col("next").isNull()
+    near = near.withColumn("inside", F.greatest(_common("hash", "prev"), _common("hash", "next")))
+    order = Window.orderBy("o_g")
+    groups = h.select(F.col("g").alias("o_g")).distinct().withColumn("before", F.lag("o_g").over(order)).withColumn("after", F.lead("o_g").over(order))
+    groups = groups.select("o_g", F.greatest(_common("o_g", "before"), _common("o_g", "after")).alias("outside"), (F.col("before").isNull() & F.col("after").isNull()).alias("only"))
+    near = near.join(F.broadcast(groups), F.col("g") == F.col("o_g"))  # a closed number of rows
+    alone = F.col("only") & F.col("prev").isNull() & F.col("next").isNull()
+    lcp = F.when(F.col("prev").isNotNull() | F.col("next").isNotNull(), F.greatest("inside", "outside")).otherwise(F.col("outside"))
     return near.select("hash", F.when(alone, F.col("hash")).otherwise(F.substring("hash", F.lit(1), lcp + 1)).alias("prefix"))

@@ -84,12 +84,20 @@ def resolve_within(o: Ontology, name: str):
 
 
 def duplicate_entities(o: Ontology, prop: str = "rdfs:label", within: str | None = None) -> DataFrame:
-    """Values of a property that two or more entities share: (text, size, iris sorted), largest groups first."""
+    """Values of a property that two or more entities share: (text, size, iris sorted), largest groups first. For showing;
+    duplicate_members() has the same without lists."""
+    groups = duplicate_members(o, prop, within).groupBy("text", "size").agg(F.sort_array(F.collect_list("entity_iri")).alias("iris"))
+    return groups.orderBy(F.desc("size"), "text")
+
+
+def duplicate_members(o: Ontology, prop: str = "rdfs:label", within: str | None = None) -> DataFrame:
+    """The members of duplicate_entities() as rows (text, size, entity_iri): no group meets in one row."""
     rows = o.entity_text.where(F.col("property") == prop)
     if within is not None:
         rows = rows.join(selection_items(o, within, "entity").select(F.col("item").alias("entity_iri")), "entity_iri", "left_semi")
-    groups = rows.select("text", "entity_iri").distinct().groupBy("text").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("entity_iri")).alias("iris"))
-    return groups.where("size > 1").orderBy(F.desc("size"), "text")
+    rows = rows.select("text", "entity_iri").distinct()
+    sizes = rows.groupBy("text").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return rows.join(sizes, "text").select("text", "size", "entity_iri")
 
 
 def duplicate_group_sizes(o: Ontology, prop: str = "rdfs:label") -> DataFrame:

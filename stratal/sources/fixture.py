@@ -6,16 +6,19 @@ other dialect, so both sides see one mapping; the operators on top are written a
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratal.functions.columns import json_string, json_text
 from stratal.plans import model as m
 from stratal.plans.model import Literal, Node, Sql, make
 from stratal.plans.spec import FIELDS
 
+from . import store
 from .ontology import AXIOM_TEXT, ENTITY_TEXT, MENTIONS, NODES, Ontology, Selection, axiom_rows, derived
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
@@ -200,8 +203,16 @@ def rows(a: Node) -> dict[str, tuple[tuple, list[tuple[str, ...]]]]:
 _built: dict[tuple, Ontology] = {}
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = store.scratch(df.sparkSession, f"fixture-{name}")
+    key = {"axioms": ("type", "hash"), "mentions": ("entity_iri",), "entity_text": ("entity_iri",)}.get(name, ("hash",))
+    df.sortWithinPartitions(*key).write.parquet(path)
+    atexit.register(store.discard, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ontology(spark: SparkSession, sf_dir: str) -> Ontology:
-    """The fixture ontology of a directory, built once per session and cached (spilling to disk)."""
+    """The fixture ontology of a directory, written once per session as Parquet, sorted as in a store."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         for t in TABLES:
@@ -224,7 +235,7 @@ def ontology(spark: SparkSession, sf_dir: str) -> Ontology:
         for name, found in derived((m.content_hash(a), a) for a in fixed).items():
             parts[name].append(spark.createDataFrame(found, SCHEMAS[name]).coalesce(1))
         # repeats of an axiom within a template are removed at the source, and no two templates give one axiom
-        union = {k: reduce(DataFrame.unionByName, v).persist() for k, v in parts.items()}
+        union = {k: _written(reduce(DataFrame.unionByName, v), k) for k, v in parts.items()}
         prefixes = spark.createDataFrame([(p, f"http://example.org/{p}#") for p in PREFIXES], "name string, namespace_iri string")
         _built[key] = Ontology(prefixes=prefixes, selections={}, **union)
     o = _built[key]
@@ -238,9 +249,9 @@ def _with_selections(o: Ontology) -> Ontology:
     o = o.with_selection("ents_a", Selection("entity", ordered(nations), "fixture", "2024-01-01"))
     o = o.with_selection("ents_b", Selection("entity", ordered(sorted(f"nation:n{i}" for i in range(0, 30, 2))), "fixture", "2024-01-02"))
     region = o.nodes.where("parent_id = 0 AND field = 'property' AND term = 'tpch:inRegion'").select("hash").join(o.axioms.where("type = 'ObjectPropertyAssertion'"), "hash", "left_semi")
-    items = region.selectExpr("CAST(row_number() OVER (ORDER BY hash) - 1 AS BIGINT) AS ord", "hash AS item")
+    items = region.select(F.col("hash").alias("item")).orderBy("item").select(F.monotonically_increasing_id().alias("ord"), "item")
     o = o.with_selection("axs_a", Selection("axiom", items, "fixture", "2024-01-03"))
-    gone = spark.createDataFrame([(10**6, "0" * 64), (10**6 + 1, "f" * 64)], "ord bigint, item string")
+    gone = spark.createDataFrame([(1 << 60, "0" * 64), ((1 << 60) + 1, "f" * 64)], "ord bigint, item string")
     return o.with_selection("drifted", Selection("axiom", items.unionByName(gone), "fixture", "2024-01-04"))
 
 

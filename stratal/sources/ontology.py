@@ -83,6 +83,25 @@ def _exploder(name: str) -> Callable:
     return run
 
 
+_EVERY = {c.strip().split(" ")[0]: c.strip().split(" ")[1] for s in (MENTIONS, ENTITY_TEXT, AXIOM_TEXT, NODES) for c in s.split(",")}
+DERIVED = "relation string, " + ", ".join(f"{c} {t}" for c, t in _EVERY.items())
+
+
+def derived_rows(axioms: DataFrame) -> DataFrame:
+    """The rows of all derived relations in one table, so that every axiom is parsed once."""
+
+    def run(batches):
+        for pdf in batches:
+            found = derived((h, m.parse(json.loads(d))) for h, d in zip(pdf["hash"], pdf["data"], strict=True))
+            for name, columns in (("mentions", MENTIONS), ("entity_text", ENTITY_TEXT), ("axiom_text", AXIOM_TEXT), ("nodes", NODES)):
+                own = [c.strip().split(" ")[0] for c in columns.split(",")]
+                out = pd.DataFrame(found[name], columns=own, dtype="object").reindex(columns=list(_EVERY))
+                out.insert(0, "relation", name)
+                yield out.astype({c: "Int32" for c, t in _EVERY.items() if t == "int"})
+
+    return axioms.select("hash", "data").mapInPandas(run, DERIVED)
+
+
 def from_axioms(axioms: DataFrame, prefixes: DataFrame, selections: dict | None = None) -> Ontology:
     """The derived relations of any axiom table, exploded on the executors from the stored JSON."""
     part = axioms.select("hash", "data")
