@@ -40,23 +40,38 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     ).withColumn("key", -F.log("u") / F.col("weight"))
 
 
+def placed(df: DataFrame, *order) -> DataFrame:
+    """df in that order: mid rises with it, pid is the range that a row lies in. Sorted by ranges, not in one task."""
+    rows = cut(df.orderBy(*order).withColumn("mid", F.monotonically_increasing_id()))
+    return rows.withColumn("pid", F.shiftright("mid", 33))
+
+
+def running(rows: DataFrame, *columns: str) -> DataFrame:
+    """placed() rows with before_<column>, the sum over the rows before: inside a range, and over whole ranges."""
+    sums = rows.groupBy("pid").agg(*(F.sum(c).alias(c) for c in columns))  # a row a range
+    ranges = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(F.col("pid").alias("b_pid"), *(F.coalesce(F.sum(c).over(ranges), F.lit(0)).alias(f"base_{c}") for c in columns))
+    inside = Window.partitionBy("pid").orderBy("mid").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(F.broadcast(bases), F.col("pid") == F.col("b_pid"))
+    return joined.select(*rows.columns, *((F.col(f"base_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"before_{c}") for c in columns))
+
+
 def targets(sized: DataFrame) -> DataFrame:
     """A row per source: its size, rows, mean weight and target. Water-filling in closed form over the sorted ratios."""
+    by_name = (F.col("source").isNull(), F.col("source"))
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), F.avg("weight").alias("mean_weight"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
-    share = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(rank - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    cap = F.col("source_size") * MAX_EPOCHS
-    by_ratio = Window.orderBy(F.col("cap") / F.col("share"), F.col("source").isNull(), "source")
-    before, rest, whole = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    levelled = (
-        per.withColumn("share", share)
-        .withColumn("cap", cap)
-        .withColumn("level", (F.lit(TOTAL_SHARE) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("share").over(rest))
-        # the first source, by ratio, that stays below its cap fixes the level for itself and all after it
-        .withColumn("open", F.col("level") * F.col("share") <= F.col("cap"))
-        .withColumn("final", F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    return levelled.select("source", "source_size", "rows", "mean_weight", F.coalesce(F.least(F.col("final") * F.col("share"), F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
+    ranked = running(placed(per.withColumn("one", F.lit(1)), *by_name), "one").drop("mid", "pid", "one")
+    share = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod("before_one", F.lit(len(WEIGHTS))) + 1).cast("int"))
+    rated = ranked.withColumn("share", share).withColumn("cap", F.col("source_size") * MAX_EPOCHS)
+    rated = running(placed(rated, F.col("cap") / F.col("share"), *by_name), "cap", "share")
+    words_, shares = (x or 0 for x in rated.agg(F.sum("source_size"), F.sum("share")).first())
+    level = (F.lit(TOTAL_SHARE) * F.lit(words_) - F.col("before_cap")) / (F.lit(shares) - F.col("before_share"))
+    # the first source, by ratio, that stays below its cap fixes the level for itself and all after it
+    rated = cut(rated.withColumn("level", level))
+    first = rated.where(F.col("level") * F.col("share") <= F.col("cap")).agg(F.min(F.struct("mid", "level")).alias("x")).first()["x"]
+    cap = F.col("cap").cast("double")
+    target = F.when(F.col("mid") >= first["mid"], F.least(F.lit(first["level"]) * F.col("share"), cap)).otherwise(cap) if first else cap
+    return rated.select("source", "source_size", "rows", "mean_weight", target.alias("target"))
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple = ()) -> DataFrame:
