@@ -185,11 +185,14 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
 def _best_pair(sizes: list[int], left: dict[int, int], big: int, room: int) -> int:
     """Largest sum of two or more further items that fit into room, 0 if no two do (bounded from above by room)."""
     free = lambda s: left[s] - (s == big)
-    small = [s for s in sizes[:2] if free(s)] or sizes[:1]
-    low = small[0]
-    pair_low = 2 * low if free(low) > 1 else (low + (small[1] if len(small) > 1 else room + 1))
-    if pair_low > room:
+    smallest: list[int] = []  # the two smallest further items
+    for s in sizes:
+        smallest += [s] * min(2, free(s))
+        if len(smallest) > 1:
+            break
+    if len(smallest) < 2 or smallest[0] + smallest[1] > room:
         return 0
+    low = smallest[0]
     best, lo, hi = 0, 0, bisect_right(sizes, room) - 1
     while lo <= hi:  # two pointers over the sorted lengths
         a, b = sizes[lo], sizes[hi]

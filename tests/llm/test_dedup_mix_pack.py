@@ -1,7 +1,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratal.llm.exact_dedup import drop_exact_duplicates, mark_exact_duplicates
 from stratal.llm.mixing import mix_documents, mix_plan
-from stratal.llm.packing import _Encoder, pack, solve, split_pattern
+from stratal.llm.packing import _Encoder, pack, reduce_instance, solve, split_pattern
 from stratal.llm.queries import tokenizer_path
 
 from .fixtures import SCHEMA, awkward, table
@@ -215,3 +215,41 @@ def check_encoder(text):
         ENC = _Encoder(spec, split_pattern(spec))
     want = np.array(ENC.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     assert ENC(text) == want
+
+
+def optimum(items, capacity):
+    """Least number of bins, by exhaustive search."""
+    best = len(items)
+    items = sorted(items, reverse=True)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(items):
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= items[k]}.values():
+            place(k + 1, [*rooms[:i], rooms[i] - items[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - items[k]])
+
+    place(0, [])
+    return best
+
+
+def test_reduction_keeps_the_optimum_and_packing_comes_near_it():
+    rng = np.random.default_rng(11)
+    exact = 0
+    for _ in range(300):
+        capacity = int(rng.integers(8, 24))
+        items = rng.integers(1, capacity + 1, int(rng.integers(1, 11))).tolist()
+        counts = dict(Counter(items))
+        want = optimum(items, capacity)
+        fixed, left = reduce_instance(counts, capacity)
+        rest = [s for s, n in left.items() for _ in range(n)]
+        assert sum(n for _, n in fixed) + optimum(rest, capacity) == want
+        assert all(sum(s * k for s, k in pattern) <= capacity for pattern, _ in fixed)
+        bins = sum(n for _, n in solve(counts, capacity))
+        assert want <= bins <= want + 1
+        exact += bins == want
+    assert exact >= 290
