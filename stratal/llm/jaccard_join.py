@@ -25,14 +25,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, small, small_batches
-from .components import components
+from .components import components, joined_components
 
 SHINGLE, PERCENT = 3, 90
-BLOCK = 2048  # members of a bucket that are compared with as many others in one task
+BLOCK = 512  # members of a bucket that are compared with as many others at once
 SEEN = 200_000  # sets a worker remembers so as not to emit the sketches of copies
 WIDE_FROM = 1500  # sets of this size on have the wide bit sketch
 BITS, WIDE_BITS = 512, 4096
@@ -148,19 +148,12 @@ def sketched(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
 
 
 def bucket_rows(table: DataFrame) -> DataFrame:
-    """(key, node, leader) of the buckets with two or more classes, one of them of the bucket's own band."""
+    """(key, node, leader) of the buckets with two or more classes, one of them of the bucket's own band. Leaders come from
+    partial aggregation, so no task sorts a bucket."""
     rows = table.where("keys IS NOT NULL").select("node", "own", F.posexplode("keys").alias("pos", "key")).select("key", "node", (F.col("pos") >= F.col("own")).alias("above"))
-    w = Window.partitionBy("key").orderBy("above", "node")
-    marked = rows.select(
-        "key",
-        "node",
-        F.lag("node").over(w).alias("prev"),
-        F.first("above").over(w).alias("lead_above"),
-        F.first("node").over(w).alias("leader"),
-        F.lead("node").over(w).alias("next"),
-    )
-    # sorted by (band, node): copies stand side by side unless a class came both ways, which later steps see as one pair
-    return marked.where("NOT lead_above AND (prev IS NULL OR prev != node) AND (prev IS NOT NULL OR next IS NOT NULL)").select("key", "node", "leader")
+    ends = rows.groupBy("key").agg(F.min(F.when(~F.col("above"), F.col("node"))).alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    wanted = cut(ends.where("leader IS NOT NULL AND lo != hi").select("key", "leader"))
+    return rows.select("key", "node").join(wanted, "key").distinct()
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -184,7 +177,8 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percen
                     sets.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "node", "items"])
 
-    sets = d.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, items array<bigint>").groupBy("node").agg(F.first("items").alias("items"))
+    # written, so that both sides of the joins come from an exchange and a class of many pairs can be split
+    sets = cut(d.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, items array<bigint>").groupBy("node").agg(F.first("items").alias("items")))
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y") - both).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
@@ -250,20 +244,25 @@ def _across(percent: int, nearest: bool):
 
 
 def _spanning(members: DataFrame, comps: DataFrame, about: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of the buckets that span components."""
+    """Candidate pairs (a, b) of the buckets that span components. Members of a bucket's largest component are compared with
+    the others only: rows grow with the members times the blocks of those others."""
     placed = members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "m")
-    rows = placed.join(open_, "key").join(about, "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.select("*", blocks.alias("nb")).select("*", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("blk"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rows = rows.select(
-        F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("grp"),
-        "node", "comp", "n", "sketch",
-        F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1).cast("int").alias("side"),
-    )
-    dealt = rows.repartition("grp").sortWithinPartitions("grp")
-    return dealt.mapInPandas(_across(percent, nearest), "a long, b long").distinct()
+    open_ = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
+    placed = cut(placed.join(open_, "key"))
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
+    per_key = sizes.groupBy("key").agg(F.sum("n_comp").alias("m"), F.max(F.struct("n_comp", "comp")).alias("x"))
+    per_key = cut(per_key.select("key", F.col("x.comp").alias("most"), F.ceil(F.col("x.n_comp") / BLOCK).cast("int").alias("nb_most"), F.ceil((F.col("m") - F.col("x.n_comp")) / BLOCK).cast("int").alias("nb_rest")))
+    rows = placed.join(per_key, "key").join(about, "node").withColumn("is_most", F.col("comp") == F.col("most"))
+    h = F.xxhash64("node")
+    rows = rows.withColumn("blk", F.when(F.col("is_most"), F.pmod(h, F.col("nb_most"))).otherwise(F.pmod(h, F.col("nb_rest"))).cast("int"))
+    block = lambda kind, i, j, side: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("grp"), side.cast("int").alias("side"))
+    own = lambda o: block(0, F.least("blk", o), F.greatest("blk", o), F.when(F.col("blk") == o, 2).when(F.col("blk") < o, 0).otherwise(1))
+    to_rest, to_most = F.sequence(F.lit(0), F.col("nb_rest") - 1), F.sequence(F.lit(0), F.col("nb_most") - 1)
+    dealt = F.when(F.col("is_most"), F.transform(to_rest, lambda o: block(1, o, F.col("blk"), F.lit(1)))).otherwise(
+        F.concat(F.transform(to_rest, own), F.transform(to_most, lambda o: block(1, F.col("blk"), o, F.lit(0))))
+    )
+    rows = rows.select("node", "comp", "n", "sketch", F.explode(dealt).alias("x")).select("x.grp", "node", "comp", "n", "sketch", "x.side")
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInPandas(_across(percent, nearest), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,17 +275,15 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     votes = members.where("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
     best = votes.groupBy("node").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("x")).select("node", (-F.col("x.l")).alias("leader"))
     pairs = cut(best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    tested, links = pairs, cut(_verified(docs, reps, pairs, k, percent, id_col, text_col))
+    tested, comps = pairs, cut(components(cut(_verified(docs, reps, pairs, k, percent, id_col, text_col))))
     for step in range(NEAREST_ROUNDS + 1):
-        comps = cut(components(links))
         fresh_ = _spanning(members, comps, about, percent, nearest=step < NEAREST_ROUNDS)
         pairs = cut(fresh_.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if step == NEAREST_ROUNDS:
                 break
             continue
-        tested, links = tested.unionByName(pairs), links.unionByName(cut(_verified(docs, reps, pairs, k, percent, id_col, text_col)))
-    comps = cut(components(links))
+        tested, comps = tested.unionByName(pairs), cut(joined_components(comps, cut(_verified(docs, reps, pairs, k, percent, id_col, text_col))))
     owned = reps.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "rep")
     lowest = owned.groupBy("comp").agg(F.min("rep").alias("component"))
     named = cut(owned.join(lowest, "comp").select("node", "component"))
