@@ -90,16 +90,21 @@ DERIVED = "relation string, " + ", ".join(f"{c} {t}" for c, t in _EVERY.items())
 def derived_rows(axioms: DataFrame) -> DataFrame:
     """The rows of all derived relations in one table, so that every axiom is parsed once."""
 
+    import pyarrow as pa
+
+    kinds = {c: pa.int32() if t == "int" else pa.string() for c, t in _EVERY.items()}
+
     def run(batches):
-        for pdf in batches:
-            found = derived((h, m.parse(json.loads(d))) for h, d in zip(pdf["hash"], pdf["data"], strict=True))
+        for batch in batches:
+            found = derived((h, m.parse(json.loads(d))) for h, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for name, columns in (("mentions", MENTIONS), ("entity_text", ENTITY_TEXT), ("axiom_text", AXIOM_TEXT), ("nodes", NODES)):
                 own = [c.strip().split(" ")[0] for c in columns.split(",")]
-                out = pd.DataFrame(found[name], columns=own, dtype="object").reindex(columns=list(_EVERY))
-                out.insert(0, "relation", name)
-                yield out.astype({c: "Int32" for c, t in _EVERY.items() if t == "int"})
+                rows = found[name]
+                values = dict(zip(own, zip(*rows, strict=True), strict=True)) if rows else {}
+                arrays = [pa.array([name] * len(rows), pa.string()), *(pa.array(values.get(c, [None] * len(rows)), t) for c, t in kinds.items())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["relation", *kinds])
 
-    return axioms.select("hash", "data").mapInPandas(run, DERIVED)
+    return axioms.select("hash", "data").mapInArrow(run, DERIVED)
 
 
 def from_axioms(axioms: DataFrame, prefixes: DataFrame, selections: dict | None = None) -> Ontology:
