@@ -1,24 +1,23 @@
 """Alignment of two tokenizers over the same texts, by the byte offsets at which their tokens end.
 
-In a worker, a text's token lengths are looked up by id and summed up to end offsets (cumsum); offsets where tokens of both
-sides end are the common cuts (intersect1d), which part the text into groups; a token's group is found by searchsorted. Tokens
-that end together are linked: per cut, each of one side with each of the other, expanded with repeat. Over the corpus, the links
-of an id pair are counted in two shuffles, first by pair and salt, then by pair.
+In a worker, token lengths are looked up by id and summed up to end offsets (cumsum), over many texts at once; offsets where tokens
+of both sides end are the common cuts (intersect1d), which part the texts into groups; a token's group is found by searchsorted.
+Tokens that end together are linked: per cut, each of one side with each of the other, expanded with repeat. Over the corpus, the
+links of an id pair are counted in two shuffles, first by pair and salt, then by pair.
 
 Two tokens that end together cover the same bytes up to there, so the shorter one is the end of the longer one. The number of
 pairs is therefore bounded by the vocabularies, whatever the corpus: a token has no more suffixes than bytes. pair_bound()
-gives the bound, and the counts are sent to the workers under it (about 3 MB for the two vocabularies used here), so no row
+gives the bound, and the counts are sent to the workers under it (a few MB for the two vocabularies used here), so no row
 of a document is shuffled for them.
 
 Defined cases: null and empty texts, and texts that a side does not give back byte by byte (such as a U+2581 that the second
-side turns into a blank), have no tokens: zeros and an empty digest; a null doc_id is carried; rows that repeat count each;
-special tokens' strings inside texts are plain text; other columns are not looked at; an empty table gives an empty result.
+side turns into a blank), have no tokens: zeros and an empty string of groups; a null doc_id is carried; rows that repeat count
+each; special tokens' strings inside texts are plain text; other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import zlib
 
@@ -29,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches, worker_state
 
 SALTS = 32
-CHUNK = 1 << 20  # characters that go to a tokenizer at once, longer texts go alone
+CHUNK = 1 << 19  # characters that a worker aligns at once; a longer text goes alone
+FLUSH = 1 << 21  # links that a worker gathers before it adds them up
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LINKS = "doc_id long, n_a long, n_b long, n_groups long, groups string, link_a array<int>, link_b array<int>"
+ALIGNED = "doc_id long, ids_a array<int>, ids_b array<int>, sizes_a array<int>, sizes_b array<int>"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -72,10 +72,10 @@ class ByteSide:
         ranks = {self.bytes[i]: i for i in model["vocab"].values()}
         return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, text: str) -> np.ndarray | list[int]:
         if self.fast is not None:
-            return [self.fast.encode_ordinary(" " + t) for t in texts]
-        return [e.ids for e in self.slow.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+            return self.fast.encode_to_numpy(" " + text, disallowed_special=())
+        return self.slow.encode(" " + text, add_special_tokens=False).ids
 
 
 class PieceSide:
@@ -90,79 +90,96 @@ class PieceSide:
             piece = self.sp.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.sp.is_byte(i) else piece.replace("▁", " ").encode())
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.sp.encode(texts, num_threads=1)
-
-
-def ends_of(lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Byte offset at which each token ends."""
-    return np.cumsum(lengths[ids])
+    def encode(self, text: str) -> list[int]:
+        return self.sp.encode(text)
 
 
 def link(ends_a: np.ndarray, ends_b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in a, in b) of all tokens that end together; tokens of no bytes end where the one before does."""
-    first_a, last_a = np.searchsorted(ends_a, cuts, "left"), np.searchsorted(ends_a, cuts, "right")
-    first_b, last_b = np.searchsorted(ends_b, cuts, "left"), np.searchsorted(ends_b, cuts, "right")
-    per_a = last_b - first_b  # partners of an a at each cut
-    of_a = last_a - first_a
-    number = np.arange(int(of_a.sum())) - np.repeat(np.cumsum(of_a) - of_a, of_a)
-    a = np.repeat(np.repeat(first_a, of_a) + number, np.repeat(per_a, of_a))
-    per_link = of_a * per_a
-    place = np.arange(int(per_link.sum())) - np.repeat(np.cumsum(per_link) - per_link, per_link)
-    return a, np.repeat(first_b, per_link) + place % np.maximum(np.repeat(per_a, per_link), 1)
+    first_a, first_b = np.searchsorted(ends_a, cuts, "left"), np.searchsorted(ends_b, cuts, "left")
+    of_a, of_b = np.searchsorted(ends_a, cuts, "right") - first_a, np.searchsorted(ends_b, cuts, "right") - first_b
+    each = of_a * of_b
+    place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)  # number of a link among those of its cut
+    per_a = np.repeat(of_b, each)
+    return np.repeat(first_a, each) + place // per_a, np.repeat(first_b, each) + place % per_a
 
 
-def group_labels(ends: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The group of each token: how many cuts lie before its end."""
-    return np.searchsorted(cuts, ends, "left")
+def linked_ids(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, lengths: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked ids of a and b, and the group each link is of. Where no token is empty, one link closes each group."""
+    last_a, last_b = np.cumsum(sizes_a) - 1, np.cumsum(sizes_b) - 1
+    if lengths[0].all() and lengths[1].all():
+        return a[last_a], b[last_b], np.arange(len(sizes_a))
+    ends_a, ends_b = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
+    at_a, at_b = link(ends_a, ends_b, ends_a[last_a])
+    return a[at_a], b[at_b], np.searchsorted(last_a, at_a, "left")
 
 
 class Aligner:
-    """Both tokenizers in a worker, with the tables that turn ids into lengths and digits."""
+    """Both tokenizers in a worker, and the lengths of their tokens."""
 
     def __init__(self, spec_json: str, model: bytes):
         self.sides = ByteSide(spec_json), PieceSide(model)
-        self.lengths = [np.array([len(x) for x in s.bytes], dtype=np.int64) for s in self.sides]
-        self.width = max(len(s.bytes) for s in self.sides)
-        # the digits of an id with what may follow them
-        self.shown = [f"{i}{mark}" for mark in ",|;" for i in range(self.width)]
-
-    def groups(self, a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray) -> str:
-        """a1,a2|b1;a3|b2: ids of each group, those of a before those of b."""
-        key = np.concatenate([2 * label_a, 2 * label_b + 1])
-        order = np.argsort(key, kind="stable")
-        key, ids = key[order], np.concatenate([a, b])[order]
-        step = np.append(np.where(key[1:] == key[:-1], 0, np.where(key[1:] // 2 == key[:-1] // 2, 1, 2)), 0)
-        return "".join(map(self.shown.__getitem__, (step * self.width + ids).tolist()))[:-1]
-
-    def aligned(self, text: str, ids_a: list[int], ids_b: list[int]):
-        """(n_a, n_b, n_groups, groups, ids of a linked, ids of b linked); None where a side does not give the text back."""
-        want = (" " + text).encode()
-        for ids, side in zip((ids_a, ids_b), self.sides, strict=True):
-            if b"".join(map(side.bytes.__getitem__, ids)) != want:
-                return None
-        a, b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
-        ends_a, ends_b = ends_of(self.lengths[0], a), ends_of(self.lengths[1], b)
-        cuts = np.intersect1d(ends_a, ends_b)
-        at_a, at_b = link(ends_a, ends_b, cuts)
-        shown = self.groups(a, b, group_labels(ends_a, cuts), group_labels(ends_b, cuts))
-        return len(a), len(b), len(cuts), shown, a[at_a].astype(np.int32), b[at_b].astype(np.int32)
-
-    def batch(self, texts: list[str | None]) -> list:
-        """Alignments of texts, None for those without tokens."""
-        out: list = [None] * len(texts)
-        todo: list[int] = []
-        size = 0
-        for i, t in enumerate(texts):
-            if t:
-                todo.append(i)
-                size += len(t)
-            if todo and (size >= CHUNK or i == len(texts) - 1):
-                own = [texts[k] for k in todo]
-                for k, x, y in zip(todo, self.sides[0].encode(own), self.sides[1].encode(own), strict=True):
-                    out[k] = self.aligned(texts[k], x, y)
-                todo, size = [], 0
-        return out
+        self.lengths = token_lengths(*(s.bytes for s in self.sides))
+        self.distinct = all(x.all() for x in self.lengths)
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """ids of both sides; none where a side does not give the text back."""
+        if text:
+            want, found = (" " + text).encode(), []
+            for side in self.sides:
+                ids = side.encode(text)
+                listed = ids if isinstance(ids, list) else ids.tolist()
+                if b"".join(map(side.bytes.__getitem__, listed)) != want:
+                    break
+                found.append(np.asarray(ids, dtype=np.int32))
+            else:
+                return found[0], found[1]
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+
+    def align(self, texts: list[str | None]) -> tuple:
+        """(ids of a, ids of b, tokens of a and of b per group; each flat, with the counts per text) of some texts.
+
+        Both sides of a text have the same bytes, so end offsets run on from text to text alike.
+        """
+        encoded = [self.encode(t) for t in texts]
+        n_a, n_b = ([len(x[k]) for x in encoded] for k in (0, 1))
+        a, b = (np.concatenate([x[k] for x in encoded]) if encoded else np.zeros(0, dtype=np.int32) for k in (0, 1))
+        ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=self.distinct)
+        sizes_a = np.bincount(np.searchsorted(cuts, ends_a, "left"), minlength=len(cuts))
+        sizes_b = np.bincount(np.searchsorted(cuts, ends_b, "left"), minlength=len(cuts))
+        upto = np.append(0, ends_a)[np.cumsum(n_a, dtype=np.int64)] if texts else np.zeros(0, dtype=np.int64)  # bytes up to each text's end
+        n_groups = np.diff(np.searchsorted(cuts, upto, "right"), prepend=0)
+        return (a, n_a), (b, n_b), (sizes_a, n_groups), (sizes_b, n_groups)
+
+
+def token_lengths(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+
+
+class Printer:
+    """Group strings a1,a2|b1;a3|b2 from flat arrays of many texts, as rows of digits without a loop over tokens."""
+
+    def __init__(self, width: int):
+        digits = len(str(max(width - 1, 0))) + 1
+        rows = [f"{i}{mark}".encode().ljust(digits, b"\0") for mark in ",|;" for i in range(width)]
+        self.width, self.table = width, np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, digits)
+        self.chars = (self.table != 0).sum(1)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, groups: np.ndarray) -> list[str]:
+        """groups: how many groups each text has."""
+        after_a, after_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
+        rows = np.empty(len(a) + len(b), dtype=np.int64)
+        # a token's place: those of its side before it, and the other side's of the groups before (or with) its group
+        rows[np.arange(len(a)) + np.repeat(after_b - sizes_b, sizes_a)] = a
+        rows[np.arange(len(b)) + np.repeat(after_a, sizes_b)] = b
+        last = after_a + after_b - 1
+        rows[last] += 2 * self.width
+        rows[last - sizes_b] += self.width
+        ends = np.append(0, np.cumsum(self.chars[rows]))[np.append(0, last + 1)][np.append(0, np.cumsum(groups))]
+        flat = self.table[rows].ravel()
+        text = flat[flat != 0].tobytes().decode("ascii")
+        return [text[i : max(i, j - 1)] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def pair_bound(a: list[bytes], b: list[bytes]) -> int:
@@ -179,9 +196,20 @@ def pair_bound(a: list[bytes], b: list[bytes]) -> int:
     return total
 
 
+def _lists(flat: np.ndarray, sizes):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat.astype(np.int32)))
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, and how many each row has."""
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
 def aligned_documents(docs: DataFrame, byte_json: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_a, n_b, n_groups, groups, link_a, link_b (ids that end together, in order). The
-    files are read on the driver and sent to the workers."""
+    """One row per row of docs: doc_id, ids_a, ids_b, and the tokens of each group (sizes_a, sizes_b). The files are read on
+    the driver and sent to the workers."""
     spark = docs.sparkSession
     small_batches(spark)
     with open(byte_json, encoding="utf-8") as f:
@@ -193,59 +221,98 @@ def aligned_documents(docs: DataFrame, byte_json: str, piece_model: str, id_col:
 
     import pyarrow as pa
 
-    longs = pa.int64()
-    kinds = [longs, longs, longs, pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    names = ["n_a", "n_b", "n_groups", "groups", "link_a", "link_b"]
-    none = (0, 0, 0, "", np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32))
+    def chunks(batch):
+        """(first row, texts) of at most CHUNK characters, or of one longer text."""
+        first, texts, size = 0, [], 0
+        for i, t in enumerate(batch.column(1)):
+            text = t.as_py()
+            if texts and size + len(text or "") > CHUNK:
+                yield first, texts
+                first, texts, size = i, [], 0
+            texts.append(text)
+            size += len(text or "")
+        if texts:
+            yield first, texts
 
     def run(batches):
         aligner = worker_state(name, lambda: Aligner(sent.value[0], base64.b64decode(sent.value[1])))
         for batch in batches:
-            rows = [x or none for x in aligner.batch(batch.column(1).to_pylist())]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", *names])
+            for first, texts in chunks(batch):
+                found = [_lists(*x) for x in aligner.align(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *found], names=["doc_id", "ids_a", "ids_b", "sizes_a", "sizes_b"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, LINKS)
+    return narrow.mapInArrow(run, ALIGNED)
 
 
-def pair_counts(links: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(a, b, n): links of each id pair. A pair's rows are added up per task, then by pair and salt, then by pair."""
-    each = links.select(F.explode(F.arrays_zip("link_a", "link_b")).alias("x"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    salted = each.select("x.link_a", "x.link_b", "salt").groupBy("link_a", "link_b", "salt").agg(F.count(F.lit(1)).alias("n"))
-    return salted.groupBy(F.col("link_a").alias("a"), F.col("link_b").alias("b")).agg(F.sum("n").alias("n"))
+def pair_counts(aligned: DataFrame, lengths: tuple[np.ndarray, np.ndarray], salts: int = SALTS) -> DataFrame:
+    """(a, b, n): links of each id pair. A task adds up what it sees, rows then meet by pair and salt, then by pair."""
+    import pyarrow as pa
+
+    sent = aligned.sparkSession.sparkContext.broadcast(lengths)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() % salts
+        waiting: list[np.ndarray] = []
+
+        def flush():
+            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(np.full(len(codes), salt, dtype=np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "salt", "n"])
+
+        for batch in batches:
+            a, b, _ = linked_ids(*(_flat(batch.column(i))[0] for i in range(4)), sent.value)
+            waiting.append(a.astype(np.int64) << 32 | b)
+            if sum(map(len, waiting)) > FLUSH:
+                waiting.append(np.zeros(0, dtype=np.int64))
+                yield flush()
+        if waiting:
+            yield flush()
+
+    salted = aligned.select("ids_a", "ids_b", "sizes_a", "sizes_b").mapInArrow(run, "a int, b int, salt int, n long").groupBy("a", "b", "salt").agg(F.sum("n").alias("n"))
+    return salted.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def align_tokens(docs: DataFrame, byte_json: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per row of docs: doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair is the most frequent of its b),
-    count_sum (over links, how often their pair is linked in the corpus), groups."""
+    count_sum (over links, how often their pair is linked in the corpus), groups (a1,a2|b1;a3|b2,b3)."""
     spark = docs.sparkSession
-    links = cut(aligned_documents(docs, byte_json, piece_model, id_col, text_col))
-    counted = cut(pair_counts(links, salts))
+    with open(byte_json, encoding="utf-8") as f, open(piece_model, "rb") as g:
+        lengths = token_lengths(ByteSide(f.read()).bytes, PieceSide(g.read()).bytes)
+    aligned = cut(aligned_documents(docs, byte_json, piece_model, id_col, text_col))
+    counted = cut(pair_counts(aligned, lengths, salts))
     best = counted.groupBy("b").agg(F.max("n").alias("most"))
     # at most pair_bound() rows, whatever the corpus
     pairs = counted.join(best, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best")).toPandas()
     code = pairs["a"].to_numpy(np.int64) << 32 | pairs["b"].to_numpy(np.int64)
     order = np.argsort(code)
-    sent = spark.sparkContext.broadcast((code[order], pairs["n"].to_numpy(np.int64)[order], pairs["best"].to_numpy(np.int64)[order]))
+    sent = spark.sparkContext.broadcast((code[order], pairs["n"].to_numpy(np.int64)[order], pairs["best"].to_numpy(np.int64)[order], lengths))
+    width = max(map(len, lengths))
 
     import pyarrow as pa
 
+    def part(batch):
+        codes, n, is_best, long = sent.value
+        (a, n_a), (b, n_b), (sizes_a, groups), (sizes_b, _) = (_flat(batch.column(i)) for i in range(1, 5))
+        link_a, link_b, group = linked_ids(a, b, sizes_a, sizes_b, long)
+        at = np.searchsorted(codes, link_a.astype(np.int64) << 32 | link_b)
+        last = np.cumsum(groups)
+        after = np.searchsorted(group, last, "left")  # links up to each row's end
+        per_row = lambda x: np.diff(np.append(0, np.cumsum(x))[after], prepend=0)
+        shown = worker_state(f"printer_{width}", lambda: Printer(width))(a, b, sizes_a, sizes_b, groups)
+        longs = [pa.array(x.astype(np.int64)) for x in (n_a, n_b, groups, np.diff(after, prepend=0), per_row(is_best[at]), per_row(n[at]))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(shown, pa.string())], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+
     def run(batches):
-        codes, n, is_best = sent.value
         for batch in batches:
-            a, b = batch.column(4), batch.column(5)
-            at = np.searchsorted(codes, a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy().astype(np.int64))
-            size = np.diff(a.offsets.to_numpy())
-            ends = np.cumsum(size)
-            total = lambda x: np.append(0, np.cumsum(x))[ends] - np.append(0, np.cumsum(x))[ends - size]
-            out = [batch.column(i) for i in range(4)] + [pa.array(size.astype(np.int64)), pa.array(total(is_best[at])), pa.array(total(n[at])), batch.column(6)]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
-
-    rows = links.select("doc_id", "n_a", "n_b", "n_groups", "link_a", "link_b", "groups")
-    return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
-
-
-def digest(text: str) -> str:
-    """Lowercase hex of a group string; none for an empty one."""
-    return hashlib.sha256(text.encode()).hexdigest() if text else ""
+            ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
+            at = 0
+            while at < batch.num_rows:  # rows of about CHUNK tokens at a time
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+                yield part(pa.RecordBatch.from_arrays([batch.column(i).slice(at, to - at) for i in range(5)], names=batch.schema.names))
+                at = to
+
+    return aligned.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
