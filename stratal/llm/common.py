@@ -42,14 +42,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    Lineage ends here: a lost executor costs a re-read, not a recomputation. The files go at exit.
+    Lineage ends here: a lost executor costs a re-read, not a recomputation. The files go at exit. Rows of long arrays are
+    better written in small row groups (bytes), which writers and readers hold in memory.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratal-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

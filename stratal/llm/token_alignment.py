@@ -29,6 +29,7 @@ from .common import cut, small_batches, worker_state
 
 SALTS = 32
 CHUNK = 1 << 19  # characters that a worker aligns at once; a longer text goes alone
+ROW_GROUP = 32 << 20
 FLUSH = 1 << 21  # links that a worker gathers before it adds them up
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ALIGNED = "doc_id long, ids_a array<int>, ids_b array<int>, sizes_a array<int>, sizes_b array<int>"
@@ -77,6 +78,10 @@ class ByteSide:
             return self.fast.encode_to_numpy(" " + text, disallowed_special=())
         return self.slow.encode(" " + text, add_special_tokens=False).ids
 
+    def gives_back(self, ids: np.ndarray | list[int], want: bytes) -> bool:
+        # by rank, the pattern's pieces cover a text and tokens cover their piece
+        return self.fast is not None or b"".join(map(self.bytes.__getitem__, ids)) == want
+
 
 class PieceSide:
     """A sentencepiece model from its file's bytes: ids of texts, and the bytes of every id."""
@@ -93,6 +98,9 @@ class PieceSide:
     def encode(self, text: str) -> list[int]:
         return self.sp.encode(text)
 
+    def gives_back(self, ids: list[int], want: bytes) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == want
+
 
 def link(ends_a: np.ndarray, ends_b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in a, in b) of all tokens that end together; tokens of no bytes end where the one before does."""
@@ -128,8 +136,7 @@ class Aligner:
             want, found = (" " + text).encode(), []
             for side in self.sides:
                 ids = side.encode(text)
-                listed = ids if isinstance(ids, list) else ids.tolist()
-                if b"".join(map(side.bytes.__getitem__, listed)) != want:
+                if not side.gives_back(ids, want):
                     break
                 found.append(np.asarray(ids, dtype=np.int32))
             else:
@@ -281,7 +288,8 @@ def align_tokens(docs: DataFrame, byte_json: str, piece_model: str, id_col: str
     spark = docs.sparkSession
     with open(byte_json, encoding="utf-8") as f, open(piece_model, "rb") as g:
         lengths = token_lengths(ByteSide(f.read()).bytes, PieceSide(g.read()).bytes)
-    aligned = cut(aligned_documents(docs, byte_json, piece_model, id_col, text_col))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")  # rows of long arrays
+    aligned = cut(aligned_documents(docs, byte_json, piece_model, id_col, text_col), ROW_GROUP)
     counted = cut(pair_counts(aligned, lengths, salts))
     best = counted.groupBy("b").agg(F.max("n").alias("most"))
     # at most pair_bound() rows, whatever the corpus
