@@ -134,7 +134,7 @@ def replace_axiom(spark: SparkSession, path: str, hash_prefix: str, axiom: dict
 def rename_iri(spark: SparkSession, path: str, old: str, new: str, within: str | None = None, into: str | None = None, mode: str = "create", confirm: str | None = None) -> dict[str, int]:
     with store.session(spark, path) as s:
         o = s.ontology
-        scope = None if within is None else c.selection_items(o, within, "axiom").select(F.col("item").alias("hash"))
+        scope = None if within is None else c.scoped_items(o, within, "axiom").select(F.col("item").alias("hash"))
         s.ontology, plan = mu.rename_iri(o, old, new, scope)
         counts = {r["outcome"]: r["n"] for r in plan.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
         if counts.get("merged"):

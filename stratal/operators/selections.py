@@ -1,7 +1,8 @@
 """Named selections: set algebra, reading with drift, listing.
 
 A set expression is a selection name or a tuple: ("union", e, ...), ("intersect", e, e, ...), ("diff", e, e, ...),
-("axioms_for", e), ("entities_in", e) or ("entities_in", e, position). It folds into one lazy DataFrame.
+("axioms_for", e), ("entities_in", e) or ("entities_in", e, position). It folds into one lazy DataFrame. Its order is that of
+first sight: the place of an item is a path, the operand's number before the place in the operand, at any depth.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from stratal.plans.model import SELECTION_NAME, ModelError
 from stratal.plans.spec import POSITIONS
 from stratal.sources.ontology import Ontology, Selection
 
-_SHIFT = 1 << 50
-
 
 def numbered(df: DataFrame, item: str) -> DataFrame:
     """(ord, item) in the order of the item: range-sorted, numbers rise but have gaps."""
@@ -58,32 +57,42 @@ def kind_of(o: Ontology, expr) -> str:
 
 
 def evaluate(o: Ontology, expr) -> DataFrame:
-    """(ord, item): distinct items in the expression's order."""
+    """(ord, item): distinct items, ord (array<bigint>) gives the expression's order."""
     kind_of(o, expr)
     return _evaluate(o, expr)
 
 
+def in_order(items: DataFrame) -> DataFrame:
+    """(ord bigint, item) of (ord, item) with any ord: each item once, at its first place."""
+    first = items.groupBy("item").agg(F.min("ord").alias("ord"))
+    return first.orderBy("ord", "item").select(F.monotonically_increasing_id().alias("ord"), "item")
+
+
 def _evaluate(o: Ontology, expr) -> DataFrame:
     if isinstance(expr, str):
-        return o.selections[expr].items.groupBy("item").agg(F.min("ord").alias("ord")).select("ord", "item")
+        return _paths(o.selections[expr].items.groupBy("item").agg(F.min("ord").alias("ord")))
     op, *rest = expr
     if op == "axioms_for":
         hit = o.mentions.join(_evaluate(o, rest[0]).select(F.col("item").alias("entity_iri")), "entity_iri", "left_semi")
-        return numbered(hit, "hash")
+        return _paths(numbered(hit, "hash"))
     if op == "entities_in":
         rows = o.mentions if len(rest) == 1 else o.mentions.where(F.col("position") == rest[1])
-        return numbered(rows.join(_evaluate(o, rest[0]).select(F.col("item").alias("hash")), "hash", "left_semi"), "entity_iri")
+        return _paths(numbered(rows.join(_evaluate(o, rest[0]).select(F.col("item").alias("hash")), "hash", "left_semi"), "entity_iri"))
     parts = [_evaluate(o, e) for e in rest]
     if op == "union":
-        # first seen: the operand, then the place in it
-        ranked = [p.select((F.lit(i * _SHIFT) + F.col("ord") % _SHIFT).alias("ord"), "item") for i, p in enumerate(parts)]
+        ranked = [p.select(F.concat(F.array(F.lit(i).cast("bigint")), "ord").alias("ord"), "item") for i, p in enumerate(parts)]
         return reduce(DataFrame.unionByName, ranked).groupBy("item").agg(F.min("ord").alias("ord")).select("ord", "item")
     how = "left_semi" if op == "intersect" else "left_anti"
     return reduce(lambda a, b: a.join(b.select("item"), "item", how).select("ord", "item"), parts)
 
 
+def _paths(items: DataFrame) -> DataFrame:
+    return items.select(F.array(F.col("ord").cast("bigint")).alias("ord"), "item")
+
+
 def upsert_selection(o: Ontology, name: str, kind: str, items: DataFrame, mode: str = "create", source: str = "", created_at: str = "") -> Ontology:
-    """create refuses an existing name, replace overwrites; a name of the other kind is refused either way."""
+    """create refuses an existing name, replace overwrites; a name of the other kind is refused either way. Of items that
+    repeat, the first stays."""
     if not SELECTION_NAME.match(name):
         raise ModelError(f"no selection name: {name!r}")
     old = o.selections.get(name)
@@ -93,7 +102,7 @@ def upsert_selection(o: Ontology, name: str, kind: str, items: DataFrame, mode:
         raise QueryError(f"no mode: {mode!r}")
     if old is not None and mode == "create":
         raise QueryError(f"{name} exists")
-    return o.with_selection(name, Selection(kind, items, source, created_at))
+    return o.with_selection(name, Selection(kind, in_order(items), source, created_at))
 
 
 def create_selection(o: Ontology, name: str, expr, mode: str = "create", created_at: str = "") -> Ontology:

@@ -105,7 +105,16 @@ class InEntitySelection:
     name: str
 
 
+def scoped_items(o: Ontology, name: str, kind: str) -> DataFrame:
+    """Items of a selection that a constraint names: one of the other kind is as good as none."""
+    found = o.selections.get(name)
+    if found is None or found.kind != kind:
+        raise SelectionNotFound(name)
+    return found.items
+
+
 def selection_items(o: Ontology, name: str, kind: str) -> DataFrame:
+    """Items of a selection that is asked for itself: the other kind is told from none."""
     found = o.selections.get(name)
     if found is None:
         raise SelectionNotFound(name)
@@ -177,7 +186,7 @@ def entity_rows(o: Ontology, constraints: tuple) -> tuple[DataFrame, list[str]]:
             case MentionedIn():
                 rows = _within(rows, "hash", c.values)
             case InAxiomSelection():
-                rows = _semi(rows, selection_items(o, c.name, "axiom").select("item"), "hash")
+                rows = _semi(rows, scoped_items(o, c.name, "axiom").select("item"), "hash")
     for c in constraints:
         match c:
             case Declared():
@@ -187,7 +196,7 @@ def entity_rows(o: Ontology, constraints: tuple) -> tuple[DataFrame, list[str]]:
             case HasAnyProperty():
                 rows = _semi(rows, _within(o.entity_text, "property", c.values).select("entity_iri").distinct(), "entity_iri")
             case InEntitySelection():
-                rows = _semi(rows, selection_items(o, c.name, "entity").select("item"), "entity_iri")
+                rows = _semi(rows, scoped_items(o, c.name, "entity").select("item"), "entity_iri")
             case EntityTextMatches():
                 ranks.append(f"rank{len(ranks)}")
                 rows = rows.join(entity_text_rank(o, c).withColumnRenamed("rank", ranks[-1]), "entity_iri")
@@ -213,9 +222,9 @@ def axiom_table(o: Ontology, constraints: tuple) -> tuple[DataFrame, list[str]]:
                 ranks.append(f"rank{len(ranks)}")
                 rows = rows.join(axiom_text_rank(o, c).withColumnRenamed("rank", ranks[-1]), "hash")
             case InAxiomSelection():
-                rows = _semi(rows, selection_items(o, c.name, "axiom").select("item"), "hash")
+                rows = _semi(rows, scoped_items(o, c.name, "axiom").select("item"), "hash")
             case InEntitySelection():
-                rows = _semi(rows, _semi(o.mentions, selection_items(o, c.name, "entity").select("item"), "entity_iri").select("hash"), "hash")
+                rows = _semi(rows, _semi(o.mentions, scoped_items(o, c.name, "entity").select("item"), "entity_iri").select("hash"), "hash")
     _known(constraints, AXIOM_CONSTRAINTS)
     return rows, ranks
 

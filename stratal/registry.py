@@ -33,13 +33,16 @@ drifted AS MATERIALIZED (SELECT ord, item FROM axs_a UNION ALL SELECT 1000000, r
 """
 
 
-def query(sql: str | None = None):
-    """Register a function of the ontology under its name; sql follows the oracle's common tables."""
-
-    def wrap(fn: Callable[[Ontology], DataFrame]):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(ontology(spark, sf_dir))
+def query(sql: str | None = None, alone: bool = False):
+    """Register a function of the ontology under its name, and of the source tables, if it takes a second argument; sql follows
+    the oracle's common tables, or stands alone."""
+
+    def wrap(fn: Callable[..., DataFrame]):
+        reads = fn.__code__.co_argcount > 1
+        more = lambda spark, sf_dir: [lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")] if reads else []
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(ontology(spark, sf_dir), *more(spark, sf_dir))
         if sql is not None:
-            ORACLES[fn.__name__] = oracle_prefix() + SELECTIONS + sql
+            ORACLES[fn.__name__] = sql if alone else oracle_prefix() + SELECTIONS + sql
         return fn
 
     return wrap
@@ -273,7 +276,12 @@ def find_axioms_text_scoped(o):
     return found.join(exact, "hash", "left").select("hash", F.coalesce("e", F.col("rank0")).alias("rank0"))
 
 
-@query("SELECT hash FROM ax WHERE hash IN (SELECT item FROM drifted)")
+# the axioms of axs_a, from their table alone
+IN_REGION = """SELECT sha256(data) AS hash, 'ObjectPropertyAssertion' AS type, data
+    FROM (SELECT '{"property":"tpch:inRegion","source":"nation:n' || n_nationkey || '","target":"region:r' || n_regionkey || '"}' AS data FROM nation)"""
+
+
+@query(f"SELECT hash FROM ({IN_REGION})", alone=True)
 def find_axioms_in_axiom_selection(o):
     return q.find_axioms(o, c.InAxiomSelection("drifted"))
 
@@ -433,19 +441,52 @@ def placed(items: DataFrame) -> DataFrame:
     return items.select("item", (F.row_number().over(Window.orderBy("ord")) - 1).cast("bigint").alias("place"))
 
 
-@query("SELECT item, row_number() OVER (ORDER BY o, ord) - 1 AS place FROM (SELECT item, min(o) AS o, arg_min(ord, o) AS ord FROM (SELECT item, 0 AS o, ord FROM ents_a UNION ALL SELECT item, 1, rb FROM (SELECT item, row_number() OVER (ORDER BY item) AS rb FROM ents_b)) GROUP BY item)")
-def set_union(o):
-    return placed(se.evaluate(o, ("union", "ents_a", "ents_b")))
+def of_tables_selections(o: Ontology, read) -> Ontology:
+    """o with selections made from tables: the nations of a region by name, and those of suppliers and customers by first key."""
+    iri = lambda key: F.concat(F.lit("nation:n"), F.col(key))
+    by_name = read("nation").where("n_regionkey = 1").select((F.ascii("n_name") * 1000 + F.ascii(F.substring("n_name", 2, 1))).cast("bigint").alias("ord"), iri("n_nationkey").alias("item"))
+    suppliers = read("supplier").select(F.col("s_suppkey").alias("ord"), iri("s_nationkey").alias("item"))
+    customers = read("customer").select(F.col("c_custkey").alias("ord"), iri("c_nationkey").alias("item"))
+    for name, items in (("region_nations", by_name), ("supplier_nations", suppliers), ("customer_nations", customers)):
+        o = se.upsert_selection(o, name, "entity", items, source="tables")
+    return o
+
+
+NATION_SETS = """WITH a AS (SELECT 'nation:n' || n_nationkey AS item, row_number() OVER (ORDER BY ascii(n_name) * 1000 + ascii(substr(n_name, 2, 1)), 'nation:n' || n_nationkey) AS ord FROM nation WHERE n_regionkey = 1),
+b AS (SELECT 'nation:n' || s_nationkey AS item, min(s_suppkey) AS ord FROM supplier GROUP BY 1),
+c AS (SELECT 'nation:n' || c_nationkey AS item, min(c_custkey) AS ord FROM customer GROUP BY 1),
+"""
+FIRST_SEEN = """seen AS (SELECT item, 1 AS o, ord FROM {0} UNION ALL SELECT item, 2, ord FROM {1} UNION ALL SELECT item, 3, ord FROM {2}),
+firsts AS (SELECT item, min(o * 1000000000000 + ord) AS k FROM seen GROUP BY item) SELECT item, row_number() OVER (ORDER BY k) - 1 AS place FROM firsts"""
+
+
+@query(NATION_SETS + FIRST_SEEN.format("a", "b", "c"), alone=True)
+def set_union(o, read):
+    return placed(se.evaluate(of_tables_selections(o, read), ("union", "region_nations", "supplier_nations", "customer_nations")))
 
 
-@query("SELECT item, row_number() OVER (ORDER BY ord) - 1 AS place FROM ents_a WHERE item IN (SELECT item FROM ents_b)")
-def set_intersect(o):
-    return placed(se.evaluate(o, ("intersect", "ents_a", "ents_b")))
+@query(NATION_SETS + FIRST_SEEN.format("a", "b", "c"), alone=True)
+def set_union_nested(o, read):
+    return placed(se.evaluate(of_tables_selections(o, read), ("union", ("union", "region_nations", "supplier_nations"), ("union", "customer_nations"))))
 
 
-@query("SELECT item, row_number() OVER (ORDER BY ord) - 1 AS place FROM ents_a WHERE item NOT IN (SELECT item FROM ents_b)")
-def set_diff(o):
-    return placed(se.evaluate(o, ("diff", "ents_a", "ents_b")))
+@query(NATION_SETS + FIRST_SEEN.format("b", "a", "c"), alone=True)
+def set_union_stored(o, read):
+    o = se.create_selection(of_tables_selections(o, read), "stored_union", ("union", "supplier_nations", "region_nations"))
+    return placed(se.evaluate(o, ("union", "stored_union", ("union", "customer_nations", "region_nations"))))
+
+
+@query(NATION_SETS + "d AS (SELECT item, ord FROM b WHERE item IN (SELECT item FROM a) AND item IN (SELECT item FROM c)) SELECT item, row_number() OVER (ORDER BY ord) - 1 AS place FROM d", alone=True)
+def set_intersect(o, read):
+    return placed(se.evaluate(of_tables_selections(o, read), ("intersect", "supplier_nations", "region_nations", "customer_nations")))
+
+
+@query(NATION_SETS + "d AS (SELECT item, ord FROM c WHERE item NOT IN (SELECT item FROM a) AND item NOT IN (SELECT item FROM b WHERE ord > 50)) SELECT item, row_number() OVER (ORDER BY ord) - 1 AS place FROM d", alone=True)
+def set_diff(o, read):
+    o = of_tables_selections(o, read)
+    later = read("supplier").groupBy(F.concat(F.lit("nation:n"), F.col("s_nationkey")).alias("item")).agg(F.min("s_suppkey").alias("ord")).where("ord > 50").select("ord", "item")
+    o = se.upsert_selection(o, "later_nations", "entity", later)
+    return placed(se.evaluate(o, ("diff", "customer_nations", "region_nations", "later_nations")))
 
 
 @query("SELECT DISTINCT hash AS item FROM ae WHERE entity_iri IN (SELECT item FROM ents_a) AND entity_iri NOT IN (SELECT item FROM ents_b)")
@@ -540,13 +581,15 @@ def undeclared_prefixes(o):
     return mu.undeclared_prefixes(replace(o, prefixes=o.prefixes.where("name IN ('nation', 'part')")))
 
 
-@query("SELECT hash, data FROM ax WHERE hash IN (SELECT item FROM axs_a)")
+@query(f"SELECT hash, data FROM ({IN_REGION})", alone=True)
 def export_lines_scoped(o):
     return export_lines(o, within="axs_a")
 
 
-@query("SELECT name, 'http://example.org/' || name || '#' AS namespace_iri FROM (SELECT unnest(['tpch','region','nation','supp','cust','part','brand','ptype','seg','bpart','order','doc','REGION']) AS name)")
-def list_prefixes(o):
+@query("SELECT name, 'http://example.org/' || name || '#' AS namespace_iri FROM (SELECT unnest(['tpch','region','nation','supp','cust','part','brand','ptype','seg','bpart','order','doc','REGION']) AS name) UNION ALL SELECT 'reg' || r_regionkey, 'http://region.org/' || replace(r_name, ' ', '_') || '#' FROM region")
+def list_prefixes(o, read):
+    for r in read("region").collect():  # a fixed table of five rows
+        o, _ = mu.set_prefix(o, f"reg{r['r_regionkey']}", f"http://region.org/{r['r_name'].replace(' ', '_')}#")
     return mu.list_prefixes(o)
 
 
@@ -621,24 +664,68 @@ def hash_prefix_matches(o):
     return outcomes(o, {"none": lambda: mu.resolve_hash_prefix(o, "0" * 40), "several": lambda: mu.resolve_hash_prefix(o, ""), "one": lambda: mu.resolve_hash_prefix(o, _hash_of("HasKey")[:20])})
 
 
-@query(literal_rows({"absent": "SelectionNotFound", "kind": "SelectionKindMismatch", "other_kind": "SelectionKindMismatch", "scope": "SelectionNotFound", "union": "QueryError", "offset": "QueryError", "upsert_kind": "QueryError", "exists": "QueryError", "damaged": "QueryError"}))
-def scope_errors(o):
+@query(
+    """WITH named AS (SELECT 'region' || r_regionkey AS name, 'entity' AS kind FROM region UNION ALL SELECT 'nation' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'axiom' END FROM nation),
+    asked AS (SELECT unnest(['axiom constraint', 'entity constraint', 'rename', 'scope', 'export', 'remove', 'duplicates', 'axioms_for', 'entities_in', 'upsert entity', 'replace entity']) AS op)
+    SELECT name, op, CASE op
+        WHEN 'axiom constraint' THEN CASE WHEN kind = 'axiom' THEN 'fine' ELSE 'SelectionNotFound' END
+        WHEN 'rename' THEN CASE WHEN kind = 'axiom' THEN 'fine' ELSE 'SelectionNotFound' END
+        WHEN 'entity constraint' THEN CASE WHEN kind = 'entity' THEN 'fine' ELSE 'SelectionNotFound' END
+        WHEN 'scope' THEN CASE WHEN kind IS NULL THEN 'SelectionNotFound' ELSE 'fine' END
+        WHEN 'upsert entity' THEN CASE WHEN kind IS NULL THEN 'fine' ELSE 'QueryError' END
+        WHEN 'replace entity' THEN CASE WHEN kind = 'axiom' THEN 'QueryError' ELSE 'fine' END
+        WHEN 'duplicates' THEN CASE WHEN kind IS NULL THEN 'SelectionNotFound' WHEN kind = 'axiom' THEN 'SelectionKindMismatch' ELSE 'fine' END
+        WHEN 'axioms_for' THEN CASE WHEN kind IS NULL THEN 'SelectionNotFound' WHEN kind = 'axiom' THEN 'QueryError' ELSE 'fine' END
+        WHEN 'entities_in' THEN CASE WHEN kind IS NULL THEN 'SelectionNotFound' WHEN kind = 'entity' THEN 'QueryError' ELSE 'fine' END
+        ELSE CASE WHEN kind IS NULL THEN 'SelectionNotFound' WHEN kind = 'entity' THEN 'SelectionKindMismatch' ELSE 'fine' END END AS result FROM named, asked""",
+    alone=True,
+)
+def scope_errors(o, read):
+    """How each use of a name ends: regions name entity selections, even nations axiom selections, odd nations none."""
+    names = []
+    for r in read("region").collect():  # two fixed tables of 30 rows
+        names.append(f"region{r['r_regionkey']}")
+        inside = read("nation").where(F.col("n_regionkey") == r["r_regionkey"]).select(F.col("n_nationkey").cast("bigint").alias("ord"), F.concat(F.lit("nation:n"), "n_nationkey").alias("item"))
+        o = se.upsert_selection(o, names[-1], "entity", inside)
+    for r in read("nation").collect():
+        names.append(f"nation{r['n_nationkey']}")
+        if r["n_nationkey"] % 2 == 0:
+            o = se.upsert_selection(o, names[-1], "axiom", o.selections["axs_a"].items)
+    rows = o.spark.createDataFrame([(0, "nation:n0")], "ord bigint, item string")
+
+    def uses(x: str) -> dict[str, Callable[[], object]]:
+        return {
+            "axiom constraint": lambda: q.find_axioms(o, c.InAxiomSelection(x)),
+            "entity constraint": lambda: q.find_entities(o, c.InEntitySelection(x)),
+            "rename": lambda: mu.rename_plan(o, "nation:n0", "nation:n1", c.scoped_items(o, x, "axiom").select(F.col("item").alias("hash"))),
+            "scope": lambda: q.resolve_within(o, x),
+            "export": lambda: export_lines(o, x),
+            "remove": lambda: mu.remove_by_selection(o, x),
+            "duplicates": lambda: q.duplicate_members(o, within=x),
+            "axioms_for": lambda: se.evaluate(o, ("axioms_for", x)),
+            "entities_in": lambda: se.evaluate(o, ("entities_in", x)),
+            "upsert entity": lambda: se.upsert_selection(o, x, "entity", rows),
+            "replace entity": lambda: se.upsert_selection(o, x, "entity", rows, "replace"),
+        }
+
+    found = [(x, op, "fine" if (how := outcome(fn)) not in ERRORS else how) for x in names for op, fn in uses(x).items()]
+    return o.spark.createDataFrame(found, "name string, op string, result string")
+
+
+ERRORS = {"SelectionNotFound", "SelectionKindMismatch", "QueryError"}
+
+
+@query("""SELECT c AS "case", CASE WHEN n > 0 THEN 'QueryError' END AS result FROM (SELECT unnest(['union of kinds', 'offset alone', 'damaged axiom']) AS c), (SELECT count(*) AS n FROM nation)""", alone=True)
+def query_errors(o):
     from dataclasses import replace
 
-    bad = replace(o, axioms=o.spark.createDataFrame([("0" * 64, "HasKey", '{"class_expression":')], "hash string, type string, data string"))
-    items = o.selections["ents_a"].items
+    bad = replace(o, axioms=o.axioms.where("type = 'ObjectPropertyAssertion'").withColumn("data", F.expr("substr(data, 1, length(data) - 1)")))
     return outcomes(
         o,
         {
-            "absent": lambda: q.find_axioms(o, c.InAxiomSelection("nothing")),
-            "kind": lambda: q.find_axioms(o, c.InAxiomSelection("ents_a")),
-            "other_kind": lambda: q.find_entities(o, c.InEntitySelection("axs_a")),
-            "scope": lambda: q.resolve_within(o, "nothing"),
-            "union": lambda: se.evaluate(o, ("union", "ents_a", "axs_a")),
-            "offset": lambda: q.find_axioms(o, offset=3),
-            "upsert_kind": lambda: se.upsert_selection(o, "axs_a", "entity", items, "replace"),
-            "exists": lambda: se.upsert_selection(o, "ents_a", "entity", items),
-            "damaged": lambda: mu.load_axiom(bad, "0" * 64),
+            "union of kinds": lambda: se.evaluate(o, ("union", "ents_a", "axs_a")),
+            "offset alone": lambda: q.find_axioms(o, offset=3),
+            "damaged axiom": lambda: mu.load_axiom(bad, bad.axioms.first()["hash"]),
         },
     )
 
@@ -666,7 +753,7 @@ def match_enum_slot(o):
 # ---- selections as they are read and kept -------------------------------------------------------------------------
 
 
-@query("SELECT d.item, ax.hash IS NOT NULL AS present, ax.type, ax.data FROM drifted AS d LEFT JOIN ax ON ax.hash = d.item")
+@query(f"SELECT hash AS item, true AS present, type, data FROM ({IN_REGION}) UNION ALL SELECT repeat(x, 64), false, NULL, NULL FROM (SELECT unnest(['0', 'f']) AS x)", alone=True)
 def read_axiom_selection(o):
     return se.selection_page(o, "drifted").drop("ord")
 
@@ -697,11 +784,19 @@ def create_selection_from_expression(o):
     return se.read_selection(o, "made").select("item", F.lit(o.selections["made"].source).alias("source"))
 
 
-@query("SELECT 10 AS previous_size, count(*) AS size FROM ents_b")
-def replace_selection(o):
-    before = se.size_of(o, "ents_a")
-    o = se.create_selection(o, "ents_a", "ents_b", "replace")
-    return o.spark.createDataFrame([(before, se.size_of(o, "ents_a"))], "previous_size bigint, size bigint")
+@query("SELECT (SELECT count(DISTINCT s_nationkey) FROM supplier) AS previous_size, count(*) AS size FROM nation WHERE n_regionkey = 1", alone=True)
+def replace_selection(o, read):
+    o = of_tables_selections(o, read)
+    before = se.selection_totals(o, "supplier_nations").select(F.col("size").alias("previous_size"))
+    o = se.create_selection(o, "supplier_nations", "region_nations", "replace")
+    return before.join(F.broadcast(se.selection_totals(o, "supplier_nations").select("size")))  # one row each
+
+
+@query("SELECT count(DISTINCT l_suppkey) AS size, (SELECT count(DISTINCT s_suppkey) FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)) AS present FROM lineitem", alone=True)
+def upsert_selection_repeats(o, read):
+    """Items that repeat count once, and so does what is there of them."""
+    rows = read("lineitem").select(F.col("l_orderkey").alias("ord"), F.concat(F.lit("supp:s"), F.col("l_suppkey")).alias("item"))
+    return se.selection_totals(se.upsert_selection(o, "repeats", "entity", rows), "repeats").select("size", "present")
 
 
 @query("SELECT 'axiom' AS kind, 'drifted' AS name, count(*) AS size FROM drifted UNION ALL SELECT 'entity', 'ents_b', 15 UNION ALL SELECT 'absent', 'nothing', 0")

@@ -15,6 +15,7 @@ from stratal.plans.patterns import match_axioms, match_bindings, parse_pattern
 from stratal.plans.spec import AXIOMS, EXPRESSION_HOLDERS, EXPRESSIONS, RANGES
 from stratal.sources import store
 from stratal.sources.fixture import constants, ontology
+from stratal.sources.export import export_lines
 from stratal.sources.ontology import axiom_rows, empty, from_axioms
 
 SF = "/root/testdata/sf0.001"
@@ -276,12 +277,27 @@ def test_commits_write_what_is_new(spark, tmp_path, monkeypatch):
 def test_selections_of_the_other_kind_are_told_from_absent_ones(spark):
     o = build(spark, [sub("ex:A", "ex:B")])
     o = se.upsert_selection(o, "e", "entity", spark.createDataFrame([(0, "ex:A")], "ord bigint, item string"))
-    with pytest.raises(c.SelectionKindMismatch):
-        q.find_axioms(o, c.InAxiomSelection("e"))
-    with pytest.raises(c.SelectionKindMismatch):
-        mu.remove_by_selection(o, "e")
-    with pytest.raises(c.SelectionNotFound):
-        q.find_axioms(o, c.InAxiomSelection("none"))
+    for asked in (lambda: q.find_axioms(o, c.InAxiomSelection("e")), lambda: q.find_axioms(o, c.InAxiomSelection("none")), lambda: export_lines(o, "none")):
+        with pytest.raises(c.SelectionNotFound):  # to a constraint the other kind is as good as none
+            asked()
+    for asked in (lambda: mu.remove_by_selection(o, "e"), lambda: export_lines(o, "e")):
+        with pytest.raises(c.SelectionKindMismatch):
+            asked()
+
+
+def test_order_of_nested_and_stored_unions(spark):
+    o = build(spark, [sub("ex:A", "ex:B")])
+    rows = lambda *xs: spark.createDataFrame([(k, x) for k, x in xs], "ord bigint, item string")
+    for name, items in {"a": rows((1, "x:1"), (2, "x:2"), (3, "x:3"), (9, "x:2")), "b": rows((1, "y:1"), (1 << 60, "y:2"), ((1 << 60) + 1, "x:1")), "c": rows((0, "z:1"), (1, "y:2"))}.items():
+        o = se.upsert_selection(o, name, "entity", items)
+    assert se.size_of(o, "a") == o.selections["a"].items.count() == 3
+    listed = lambda df: [r["item"] for r in df.orderBy("ord").collect()]
+    want = ["x:1", "x:2", "x:3", "y:1", "y:2", "z:1"]
+    o = se.create_selection(o, "ab", ("union", "a", "b"))
+    assert listed(o.selections["ab"].items) == want[:5]
+    assert listed(se.evaluate(o, ("union", ("union", "a", "b"), "c"))) == listed(se.evaluate(o, ("union", "ab", "c"))) == want
+    assert listed(se.evaluate(o, ("union", "c", ("diff", ("union", "b", "a"), "c")))) == ["z:1", "y:2", "y:1", "x:1", "x:2", "x:3"]
+    assert listed(se.evaluate(o, ("intersect", ("union", ("union", "b", "a"), "c"), "a"))) == ["x:1", "x:2", "x:3"]
 
 
 def test_concrete_terms_prune_a_pattern():
