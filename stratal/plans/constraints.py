@@ -152,17 +152,18 @@ def entity_text_rank(o: Ontology, c: EntityTextMatches) -> DataFrame:
     needle = c.query.lower()
     hit, exact = _contains(F.col("text"), needle), F.lower("text") == needle
     if c.properties:
-        rows = _within(o.entity_text, "property", _values(c.properties)).where(hit)
+        rows = _within(o.texts_with("entity_text", c.query), "property", _values(c.properties)).where(hit)
         return rows.groupBy("entity_iri").agg(F.max(exact).alias("e")).select("entity_iri", F.when(F.col("e"), 0).otherwise(1).alias("rank"))
     local = F.col("property") == LOCAL_NAME
     flag = lambda x: F.max(F.coalesce(x, F.lit(False)))
-    rows = o.entity_text.where(hit).groupBy("entity_iri").agg(flag(local & exact).alias("le"), flag(local).alias("lc"), flag(~local & exact).alias("ae"))
+    rows = o.texts_with("entity_text", c.query).where(hit).groupBy("entity_iri").agg(flag(local & exact).alias("le"), flag(local).alias("lc"), flag(~local & exact).alias("ae"))
     # the local name claims an entity first, whatever its annotations say
     return rows.select("entity_iri", F.when(F.col("le"), 0).when(F.col("lc"), 2).when(F.col("ae"), 1).otherwise(3).alias("rank"))
 
 
 def axiom_text_rank(o: Ontology, c: AnnotationTextMatches) -> DataFrame:
-    rows = _within(o.axiom_text, "property", _values(c.properties)) if c.properties else o.axiom_text
+    rows = o.texts_with("axiom_text", c.query)
+    rows = _within(rows, "property", _values(c.properties)) if c.properties else rows
     needle = c.query.lower()
     rows = rows.where(_contains(F.col("text"), needle)).groupBy("hash").agg(F.max(F.lower("text") == needle).alias("e"))
     return rows.select("hash", F.when(F.col("e"), 0).otherwise(1).alias("rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from stratal.plans import constraints as c
 from stratal.plans import model as m
 from stratal.plans.patterns import match_axioms, match_bindings
 from stratal.sources.export import export_lines
-from stratal.sources import store
+from stratal.sources import store, text_index
 from stratal.sources.fixture import constants, ontology, oracle_prefix
 from stratal.sources.fixture_sql import axiom_text_sql, entity_text_sql, mention_sql
 from stratal.sources.ontology import Ontology
@@ -269,6 +270,41 @@ def find_axioms_text_ranked(o):
     return q.find_axioms(o, c.AnnotationTextMatches("1-Urgent"))
 
 
+_indexed: dict[tuple, Ontology] = {}
+
+
+def indexed(o: Ontology) -> Ontology:
+    """o with substring indexes of its texts, built once a session."""
+    from dataclasses import replace
+
+    key = (o.spark.sparkContext.applicationId, id(o.entity_text))
+    if key not in _indexed:
+        searches = {}
+        for name in store.INDEXED:
+            path = store.scratch(o.spark, f"index-{name}")
+            index = text_index.build(getattr(o, name), path, store.SCHEMAS[name])
+            atexit.register(store.discard, o.spark, path)
+            searches[name] = (getattr(o, name), lambda needle, index=index: index.search(o.spark, needle))
+        _indexed[key] = replace(o, searches=searches)
+    return replace(o, searches=_indexed[key].searches)
+
+
+@query(ranked("red bolt"))
+def find_entities_text_indexed(o):
+    return q.find_entities(indexed(o), c.EntityTextMatches("Red Bolt"))
+
+
+@query(ranked("r#00000000"))
+def find_entities_text_indexed_rare(o):
+    """Names of one table, whose grams are rare in all others."""
+    return q.find_entities(indexed(o), c.EntityTextMatches("R#00000000"))
+
+
+@query("SELECT hash, CASE WHEN EXISTS (SELECT 1 FROM axt WHERE axt.hash = ax.hash AND lower(text) = '5-low') THEN 0 ELSE 1 END AS rank0 FROM ax WHERE EXISTS (SELECT 1 FROM axt WHERE axt.hash = ax.hash AND instr(lower(text), '5-low') > 0)")
+def find_axioms_text_indexed(o):
+    return q.find_axioms(indexed(o), c.AnnotationTextMatches("5-LOW"))
+
+
 @query("SELECT hash, CASE WHEN EXISTS (SELECT 1 FROM axt WHERE axt.hash = ax.hash AND property = 'rdfs:comment' AND lower(text) = 'first region') THEN 0 ELSE 1 END AS rank0 FROM ax WHERE EXISTS (SELECT 1 FROM axt WHERE axt.hash = ax.hash AND property = 'rdfs:comment' AND instr(lower(text), 'i') > 0)")
 def find_axioms_text_scoped(o):
     found = q.search_axioms(o, "I", ("rdfs:comment",))

@@ -41,6 +41,8 @@ class Ontology:
     # what led here from the version of a store that was read: ("add", axioms) and ("remove", hashes), and the axioms they lead to
     changes: tuple = ()
     changed: DataFrame | None = None
+    # text relation -> (the relation it was made of, its rows that may hold a needle)
+    searches: dict[str, tuple[DataFrame, Callable[[str], DataFrame | None]]] = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
@@ -51,6 +53,13 @@ class Ontology:
         changes = (*self.changes, (kind, rows)) if self.changed is self.axioms else (("unknown", None),)
         return replace(self, changes=changes, changed=relations["axioms"], **relations)
 
+    def texts_with(self, relation: str, needle: str) -> DataFrame:
+        """Rows of entity_text or axiom_text that may hold needle: from the index where the relation is as it was indexed, else all."""
+        whole = getattr(self, relation)
+        of, search = self.searches.get(relation, (None, None))
+        found = search(needle) if of is whole else None
+        return whole if found is None else found
+
     def with_selection(self, name: str, selection: Selection) -> Ontology:
         return replace(self, selections=self.selections | {name: selection})
 
