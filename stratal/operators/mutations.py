@@ -9,14 +9,14 @@ import json
 from collections.abc import Iterable
 from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratal.functions.columns import prefix_of
 from stratal.plans import model as m
 from stratal.plans.constraints import QueryError, selection_items
-from stratal.sources.ontology import Ontology, axiom_rows, from_axioms, stored_json
+from stratal.sources import columnar
+from stratal.sources.ontology import Ontology, apart, axiom_rows, from_axioms, node_relations
 
 RELATIONS = ("mentions", "entity_text", "axiom_text", "nodes")
 
@@ -38,18 +38,27 @@ def check_prefixes(o: Ontology, axioms: Iterable[m.Node]) -> None:
         raise QueryError(f"undeclared prefixes: {', '.join(missing)}")
 
 
-def add_rows(o: Ontology, rows: DataFrame) -> tuple[Ontology, DataFrame]:
-    """o with those rows (hash, type, data) that it lacks, and the rows added; of rows with one hash, one is added."""
+def add_rows(o: Ontology, rows: DataFrame, parts: dict[str, DataFrame] | None = None) -> tuple[Ontology, DataFrame]:
+    """o with those rows (hash, type, data) that it lacks, and the rows added; of rows with one hash, one is added. parts are the
+    derived relations of the rows, where they are known."""
     new = rows.select("hash", "type", "data").groupBy("hash").agg(F.min(F.struct("type", "data")).alias("x")).select("hash", "x.type", "x.data")
     new = new.join(o.axioms.select("hash"), "hash", "left_anti")
-    part = from_axioms(new, o.prefixes)
-    grown = {r: getattr(o, r).unionByName(getattr(part, r)) for r in RELATIONS}
-    return o.changed_by("add", new, axioms=o.axioms.unionByName(new), **grown), new
+    if parts is None:
+        made = from_axioms(new, o.prefixes)
+        more = {r: getattr(made, r) for r in RELATIONS}
+    else:
+        more = {r: parts[r].join(new.select("hash"), "hash", "left_semi") for r in RELATIONS}
+    grown = {r: getattr(o, r).unionByName(more[r]) for r in RELATIONS}
+    return o.changed_by("add", new, parts, axioms=o.axioms.unionByName(new), **grown), new
+
+
+def add_nodes(o: Ontology, axioms: list[m.Node]) -> tuple[Ontology, DataFrame]:
+    return add_rows(o, axiom_rows(o.spark, axioms), node_relations(o.spark, axioms))
 
 
 def add_axioms(o: Ontology, axioms: list[m.Node]) -> tuple[Ontology, DataFrame]:
     check_prefixes(o, axioms)
-    return add_rows(o, axiom_rows(o.spark, axioms))
+    return add_nodes(o, axioms)
 
 
 def remove(o: Ontology, hashes: DataFrame) -> Ontology:
@@ -96,7 +105,7 @@ def resolve_hash_prefix(o: Ontology, prefix: str) -> str:
 
 def _swap(o: Ontology, h: str, axiom: m.Node) -> Ontology:
     one = remove(o, o.spark.createDataFrame([(h,)], "hash string"))
-    return add_rows(one, axiom_rows(o.spark, [axiom]))[0]
+    return add_nodes(one, [axiom])[0]
 
 
 def annotate_axiom(o: Ontology, h: str, add: tuple = (), remove_: tuple = ()) -> tuple[Ontology, dict]:
@@ -120,18 +129,17 @@ def replace_axiom(o: Ontology, h: str, new: m.Node) -> tuple[Ontology, str]:
     return _swap(o, h, m.Node(new.tag, new.values, old.annotations)), "replaced"
 
 
-def rename_plan(o: Ontology, old: str, new: str, within: DataFrame | None = None) -> DataFrame:
-    """(hash, new_hash, type, data, outcome) of every axiom that mentions old; outcome is noop, replaced or merged."""
+def renamed_apart(o: Ontology, old: str, new: str, within: DataFrame | None = None) -> DataFrame:
+    """The axioms that mention old, taken apart with new in its place; hash is that of before."""
     hit = o.axioms.join(o.mentions.where(F.col("entity_iri") == old).select("hash"), "hash", "left_semi")
     if within is not None:
         hit = hit.join(within.select("hash"), "hash", "left_semi")
+    return apart(hit, old, new)
 
-    def run(batches):
-        for pdf in batches:
-            out = [m.rename(m.parse(json.loads(d)), old, new) for d in pdf["data"]]
-            yield pd.DataFrame({"hash": pdf["hash"], "new_hash": [m.content_hash(a) for a in out], "type": pdf["type"], "data": [stored_json(a) for a in out]})
 
-    renamed = hit.mapInPandas(run, "hash string, new_hash string, type string, data string")
+def rename_plan(o: Ontology, old: str, new: str, within: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """(hash, new_hash, type, data, outcome) of every axiom that mentions old; outcome is noop, replaced or merged."""
+    renamed = columnar.axiom_rows(renamed_apart(o, old, new, within) if parts is None else parts)
     # in hash order the first to arrive keeps the place, a stored axiom that does not move comes before all
     first = F.row_number().over(Window.partitionBy("new_hash").orderBy("hash")) == 1
     moving = renamed.where("hash != new_hash").withColumn("first", first)
@@ -147,9 +155,13 @@ def rename_iri(o: Ontology, old: str, new: str, within: DataFrame | None = None)
     m.check_iri(new)
     if (p := new.split(":", 1)[0]) not in m.BUILTIN_PREFIXES and o.prefixes.where(F.col("name") == p).isEmpty():
         raise QueryError(f"undeclared prefixes: {p}")
-    plan = rename_plan(o, old, new, within)
+    parts = renamed_apart(o, old, new, within)
+    plan = rename_plan(o, old, new, within, parts)
     left = remove(o, plan.where("outcome != 'noop'").select("hash"))
-    return add_rows(left, plan.where("outcome = 'replaced'").select(F.col("new_hash").alias("hash"), "type", "data"))[0], plan
+    moved = plan.where("outcome = 'replaced'").select("hash", "new_hash", "type", "data")
+    # of the axioms that become one, the relations are those of the one that keeps the place
+    kept = parts.join(moved.select("hash", "new_hash"), "hash").select(F.col("new_hash").alias("hash"), "x", "notes", "rows")
+    return add_rows(left, moved.select(F.col("new_hash").alias("hash"), "type", "data"), columnar.relations(kept))[0], plan
 
 
 def set_prefix(o: Ontology, name: str, namespace: str) -> tuple[Ontology, dict]:

@@ -16,10 +16,10 @@ from stratal.plans import constraints as c
 from stratal.plans import model as m
 from stratal.plans.patterns import match_axioms, match_bindings
 from stratal.sources.export import export_lines
-from stratal.sources import store, text_index
+from stratal.sources import columnar, store, text_index
 from stratal.sources.fixture import constants, ontology, oracle_prefix
 from stratal.sources.fixture_sql import axiom_text_sql, entity_text_sql, mention_sql
-from stratal.sources.ontology import Ontology
+from stratal.sources.ontology import Ontology, apart
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -387,28 +387,57 @@ plain(entity_text_rows, entity_text_sql())
 plain(axiom_text_rows, axiom_text_sql())
 
 
-def parsed(o: Ontology, what: Callable[[m.Node], str], name: str) -> DataFrame:
-    """(hash, name) of every axiom, read back from its stored JSON."""
+# the same from the stored JSON of every axiom, as for any table of axioms
 
-    def run(batches):
-        import json
 
-        for pdf in batches:
-            yield pdf[["hash"]].assign(**{name: [what(m.parse(json.loads(d))) for d in pdf["data"]]})
+_apart: dict[tuple, DataFrame] = {}
 
-    return o.axioms.select("hash", "data").mapInPandas(run, f"hash string, {name} string")
+
+def taken_apart(o: Ontology) -> DataFrame:
+    """The axioms of o, taken apart once a session."""
+    key = (o.spark.sparkContext.applicationId, id(o.axioms))
+    if key not in _apart:
+        _apart[key] = apart(o.axioms)
+    return _apart[key]
+
+
+def exploded(o: Ontology, relation: str) -> DataFrame:
+    return of_tables(columnar.relations(taken_apart(o))[relation])
+
+
+def exploded_mentions(o):
+    return exploded(o, "mentions")
+
+
+def exploded_entity_text(o):
+    return exploded(o, "entity_text")
+
+
+def exploded_axiom_text(o):
+    return exploded(o, "axiom_text")
+
+
+plain(exploded_mentions, mention_sql())
+plain(exploded_entity_text, entity_text_sql())
+plain(exploded_axiom_text, axiom_text_sql())
+
+
+@query("SELECT hash, hash AS new_hash, type, data FROM ax")
+def exploded_axioms(o):
+    """Canonical hash, type and stored form of every axiom, as its JSON gives them."""
+    return columnar.axiom_rows(taken_apart(o))
 
 
 @query("SELECT hash, hash AS again FROM ax")
 def content_hashes(o):
     """Hashes of the canonical form of every stored axiom."""
-    return parsed(o, m.content_hash, "again")
+    return columnar.axiom_rows(taken_apart(o)).select("hash", F.col("new_hash").alias("again"))
 
 
 @query("SELECT hash, type AS tag FROM ax")
 def structural_dispatch(o):
     """The type of every stored axiom as its field names tell."""
-    return parsed(o, lambda a: a.tag, "tag")
+    return columnar.axiom_rows(taken_apart(o)).select("hash", F.col("type").alias("tag"))
 
 
 # ---- patterns: the oracle asks the source tables -------------------------------------------------------------------

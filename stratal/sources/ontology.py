@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from stratal.plans import model as m
 
+from . import columnar
+
 AXIOMS = "hash string, type string, data string"
 MENTIONS = "hash string, entity_iri string, role string, position string"
 ENTITY_TEXT = "hash string, entity_iri string, property string, text string"
 AXIOM_TEXT = "hash string, property string, text string"
 NODES = "hash string, node_id int, parent_id int, field string, ord int, list_size int, kind string, tag string, term string, node_repr string"
 PREFIXES = "name string, namespace_iri string"
+DERIVED = {"mentions": MENTIONS, "entity_text": ENTITY_TEXT, "axiom_text": AXIOM_TEXT, "nodes": NODES}
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,8 @@ class Ontology:
     nodes: DataFrame
     prefixes: DataFrame
     selections: dict[str, Selection] = field(default_factory=dict)
-    # what led here from the version of a store that was read: ("add", axioms) and ("remove", hashes), and the axioms they lead to
+    # what led here from the version of a store that was read: ("add", axioms, relations that hold at least what is derived from
+    # them, or None) and ("remove", hashes, None), and the axioms they lead to
     changes: tuple = ()
     changed: DataFrame | None = None
     # text relation -> (the relation it was made of, its rows that may hold a needle)
@@ -48,9 +52,9 @@ class Ontology:
     def spark(self) -> SparkSession:
         return self.axioms.sparkSession
 
-    def changed_by(self, kind: str, rows: DataFrame, **relations: DataFrame) -> Ontology:
+    def changed_by(self, kind: str, rows: DataFrame, parts: dict[str, DataFrame] | None = None, **relations: DataFrame) -> Ontology:
         """With other relations, and a note of how the axioms came to be, so that a store may write that alone."""
-        changes = (*self.changes, (kind, rows)) if self.changed is self.axioms else (("unknown", None),)
+        changes = (*self.changes, (kind, rows, parts)) if self.changed is self.axioms else (("unknown", None, None),)
         return replace(self, changes=changes, changed=relations["axioms"], **relations)
 
     def texts_with(self, relation: str, needle: str) -> DataFrame:
@@ -79,56 +83,43 @@ def derived(parsed: Iterable[tuple[str, m.Node]]) -> dict[str, list[tuple]]:
     return out
 
 
-def _exploder(name: str) -> Callable:
-    columns = {"mentions": MENTIONS, "entity_text": ENTITY_TEXT, "axiom_text": AXIOM_TEXT, "nodes": NODES}[name]
-    names = [c.strip().split(" ")[0] for c in columns.split(",")]
-
-    def run(batches):
-        for pdf in batches:
-            rows = derived((h, m.parse(json.loads(d))) for h, d in zip(pdf["hash"], pdf["data"], strict=True))[name]
-            out = pd.DataFrame(rows, columns=names, dtype="object")
-            yield out.astype({c: "int32" for c in ("node_id", "parent_id", "ord", "list_size") if c in out})
-
-    return run
-
+def _unique(axioms: Iterable[m.Node]) -> dict[str, m.Node]:
+    rows: dict[str, m.Node] = {}
+    for a in axioms:
+        rows.setdefault(m.content_hash(a), a)
+    return rows
 
-_EVERY = {c.strip().split(" ")[0]: c.strip().split(" ")[1] for s in (MENTIONS, ENTITY_TEXT, AXIOM_TEXT, NODES) for c in s.split(",")}
-DERIVED = "relation string, " + ", ".join(f"{c} {t}" for c, t in _EVERY.items())
 
+def node_relations(spark: SparkSession, axioms: Iterable[m.Node]) -> dict[str, DataFrame]:
+    """The derived relations of a small list, made where the list is."""
+    return {name: spark.createDataFrame(rows, DERIVED[name]) for name, rows in derived(_unique(axioms).items()).items()}
 
-def derived_rows(axioms: DataFrame) -> DataFrame:
-    """The rows of all derived relations in one table, so that every axiom is parsed once."""
 
-    import pyarrow as pa
+def from_nodes(spark: SparkSession, axioms: Iterable[m.Node], prefixes: DataFrame) -> Ontology:
+    axioms = list(axioms)
+    return Ontology(axiom_rows(spark, axioms), prefixes=prefixes, **node_relations(spark, axioms))
 
-    kinds = {c: pa.int32() if t == "int" else pa.string() for c, t in _EVERY.items()}
 
-    def run(batches):
-        for batch in batches:
-            found = derived((h, m.parse(json.loads(d))) for h, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for name, columns in (("mentions", MENTIONS), ("entity_text", ENTITY_TEXT), ("axiom_text", AXIOM_TEXT), ("nodes", NODES)):
-                own = [c.strip().split(" ")[0] for c in columns.split(",")]
-                rows = found[name]
-                values = dict(zip(own, zip(*rows, strict=True), strict=True)) if rows else {}
-                arrays = [pa.array([name] * len(rows), pa.string()), *(pa.array(values.get(c, [None] * len(rows)), t) for c, t in kinds.items())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["relation", *kinds])
+def apart(axioms: DataFrame, old: str | None = None, new: str | None = None) -> DataFrame:
+    """columnar.taken_apart(), written once to a scratch folder: the long expression is planned and run a single time for
+    whatever is read off it."""
+    from . import store
 
-    return axioms.select("hash", "data").mapInArrow(run, DERIVED)
+    spark, made = axioms.sparkSession, columnar.taken_apart(axioms, old=old, new=new)
+    path = store.scratch(spark, "apart")
+    made.write.parquet(path)
+    atexit.register(store.discard, spark, path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def from_axioms(axioms: DataFrame, prefixes: DataFrame, selections: dict | None = None) -> Ontology:
-    """The derived relations of any axiom table, exploded on the executors from the stored JSON."""
-    part = axioms.select("hash", "data")
-    make = lambda name, schema: part.mapInPandas(_exploder(name), schema)
-    return Ontology(axioms, make("mentions", MENTIONS), make("entity_text", ENTITY_TEXT), make("axiom_text", AXIOM_TEXT), make("nodes", NODES), prefixes, selections or {})
+    """The derived relations of any axiom table, taken apart in columns from the stored JSON."""
+    return Ontology(axioms, prefixes=prefixes, selections=selections or {}, **columnar.relations(apart(axioms)))
 
 
 def axiom_rows(spark: SparkSession, axioms: Iterable[m.Node]) -> DataFrame:
     """(hash, type, data) of a small list, one row per hash: the first."""
-    rows = {}
-    for a in axioms:
-        rows.setdefault(m.content_hash(a), (a.tag, stored_json(a)))
-    return spark.createDataFrame([(h, *x) for h, x in rows.items()], AXIOMS)
+    return spark.createDataFrame([(h, a.tag, stored_json(a)) for h, a in _unique(axioms).items()], AXIOMS)
 
 
 def empty(spark: SparkSession) -> Ontology:

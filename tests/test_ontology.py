@@ -16,7 +16,7 @@ from stratal.plans.spec import AXIOMS, EXPRESSION_HOLDERS, EXPRESSIONS, RANGES
 from stratal.sources import store
 from stratal.sources.fixture import constants, ontology
 from stratal.sources.export import export_lines
-from stratal.sources.ontology import axiom_rows, empty, from_axioms
+from stratal.sources.ontology import empty, from_axioms, from_nodes
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,8 +35,7 @@ def label(iri, text, prop="rdfs:label"):
 
 def build(spark, axioms, prefixes=("", "ex")):
     p = spark.createDataFrame([(x, f"http://{x}.org/") for x in prefixes], "name string, namespace_iri string")
-    o = from_axioms(axiom_rows(spark, axioms).cache(), p)
-    return o
+    return from_nodes(spark, axioms, p)
 
 
 def ids(df, col=0):
@@ -354,7 +353,7 @@ def test_streaming_ingest(spark, tmp_path):
     f.create_ontology(spark, path)
     src = str(tmp_path / "in")
     for i in range(2):
-        axiom_rows(spark, [sub("ex:A", "ex:B"), sub(f"ex:N{i}", "ex:B")]).write.mode("append").parquet(src)
+        from_nodes(spark, [sub("ex:A", "ex:B"), sub(f"ex:N{i}", "ex:B")], empty(spark).prefixes).axioms.write.mode("append").parquet(src)
     stream = spark.readStream.schema("hash string, type string, data string").option("maxFilesPerTrigger", 1).parquet(src)
     ingest_axioms(stream, path, str(tmp_path / "cp")).awaitTermination()
     assert store.load(spark, path)[0].axioms.count() == 3
