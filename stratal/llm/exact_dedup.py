@@ -80,29 +80,32 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     d = digests(docs, id_col, text_col)
     blocks = filter_blocks(d.count(), filter_bits)
     d = probe(d, "text_sha256", cut(repeat_filter(d, "text_sha256", blocks)), blocks, "maybe")
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"), (-F.col("rid")).alias("nrid")))
+    # bitwise not turns the order round and, unlike a minus, is defined for every id
+    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("neg"), F.bitwise_not("rid").alias("nrid")))
     # written out, so that both sides of the join below come from an exchange and a hot hash can be split
     groups = cut(d.where("maybe").groupBy(F.col("text_sha256").alias("g_sha")).agg(F.count(F.lit(1)).alias("g_n"), best.alias("b")))
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_points"]
     repeated = (
         d.where("maybe")
         .join(groups, F.col("text_sha256") == F.col("g_sha"))
-        .select("doc_id", (-F.col("b.neg")).alias("keep_id"), F.col("g_n").alias("group_size"), (F.col("rid") == -F.col("b.nrid")).alias("kept"), "text_sha256", "n_points")
+        .select("doc_id", F.bitwise_not("b.neg").alias("keep_id"), F.col("g_n").alias("group_size"), (F.col("rid") == F.bitwise_not("b.nrid")).alias("kept"), "text_sha256", "n_points")
     )
     alone = d.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_points")
     return alone.select(out).unionByName(repeated.select(out))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """docs with one row of each group of equal texts; only rows that may repeat are shuffled."""
+    """docs with one row of each group of equal texts; only rows that may repeat are shuffled. Of equal length and id, the row
+    with the greatest digest of its JSON stays, whatever the order of the input."""
     sha, flag, row = fresh(docs, "__sha"), fresh(docs, "__maybe"), fresh(docs, "__row")
     hashed = F.sha2(unspaced(F.col(text_col)).cast("binary"), 256)
     keys = cut(docs.select(hashed.alias(sha)))
     blocks = filter_blocks(keys.count(), filter_bits)
     bitmaps = cut(repeat_filter(keys, sha, blocks))
     probed = probe(docs.withColumn(sha, hashed), sha, bitmaps, blocks, flag)
-    order = F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))), -F.col(id_col).cast("long"))
     every = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.sha2(F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(every)))), 256)
+    order = F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))), F.bitwise_not(F.col(id_col).cast("long")), whole)
     winners = (
         probed.where(flag)
         .groupBy(sha)

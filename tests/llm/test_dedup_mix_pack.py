@@ -253,3 +253,14 @@ def test_reduction_keeps_the_optimum_and_packing_comes_near_it():
         assert want <= bins <= want + 1
         exact += bins == want
     assert exact >= 290
+
+
+def test_exact_duplicates_of_extreme_ids_and_of_equal_rank(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    docs = table(spark, [(low, "a b", "s"), (low, "a b", "t"), (high, "ab", "s"), (3, "c", "s"), (high, "c", "s"), (None, "c", "s")])
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.keep_id, r.group_size) for r in mark_exact_duplicates(docs).collect())
+    assert found == [(False, low, low, 3), (False, low, low, 3), (False, 3, 3, 3), (False, high, low, 3), (False, high, 3, 3), (True, 0, 3, 3)]
+    assert sorted(r.doc_id for r in drop_exact_duplicates(docs).collect()) == [low, 3]
+    ties = [(7, "q ", "u"), (7, " q", "v"), (7, "q ", "w")]
+    kept = {tuple(map(tuple, drop_exact_duplicates(table(spark, rows).coalesce(1)).collect())) for rows in (ties, ties[::-1], ties[1:] + ties[:1])}
+    assert len(kept) == 1
