@@ -75,4 +75,4 @@ def test_stages_on_awkward_and_empty_tables(spark):
 
 def test_every_operator_is_registered():
     random.seed(0)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
