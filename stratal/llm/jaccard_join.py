@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small, small_batches
+from .common import cut, drop_cut, fresh, small, small_batches
 from .components import components, joined_components
 
 SHINGLE, PERCENT = 3, 90
@@ -153,11 +153,22 @@ def bucket_rows(table: DataFrame) -> DataFrame:
     rows = table.where("keys IS NOT NULL").select("node", "own", F.posexplode("keys").alias("pos", "key")).select("key", "node", (F.col("pos") >= F.col("own")).alias("above"))
     ends = rows.groupBy("key").agg(F.min(F.when(~F.col("above"), F.col("node"))).alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     wanted = cut(ends.where("leader IS NOT NULL AND lo != hi").select("key", "leader"))
-    return rows.select("key", "node").join(wanted, "key").distinct()
+    members = cut(rows.select("key", "node").join(wanted, "key").distinct())
+    drop_cut(wanted)
+    return members
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar enough. Only documents that stand for a class in pairs are read again."""
+def _checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """_verified(), written; the sets and the filter that it reads are removed then."""
+    sets, bitmap, links = _verified(docs, reps, pairs, k, percent, id_col, text_col)
+    out = cut(links)
+    drop_cut(sets)
+    drop_cut(bitmap)
+    return out
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written sets and filter, and of them those pairs (a, b) whose whole sets are similar enough. Only documents that stand for a class in pairs are read again."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node").select("rep")
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
     bitmap = cut(wanted.select(spot("rep").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")))
@@ -181,7 +192,8 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percen
     sets = cut(d.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, items array<bigint>").groupBy("node").agg(F.first("items").alias("items")))
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y") - both).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
+    links = joined.select("a", "b", both.alias("i"), (F.size("x") + F.size("y") - both).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
+    return sets, bitmap, links
 
 
 def _across(percent: int, nearest: bool):
@@ -243,12 +255,13 @@ def _across(percent: int, nearest: bool):
     return run
 
 
-def _spanning(members: DataFrame, comps: DataFrame, about: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of the buckets that span components. Members of a bucket's largest component are compared with
+def _spanning(members: DataFrame, comps: DataFrame, about: DataFrame, tested: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Candidate pairs (a, b), not tested yet, of the buckets that span components, written. Members of a bucket's largest component are compared with
     the others only: rows grow with the members times the blocks of those others."""
     placed = members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     open_ = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
     placed = cut(placed.join(open_, "key"))
+    drop_cut(open_)
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
     per_key = sizes.groupBy("key").agg(F.sum("n_comp").alias("m"), F.max(F.struct("n_comp", "comp")).alias("x"))
     per_key = cut(per_key.select("key", F.col("x.comp").alias("most"), F.ceil(F.col("x.n_comp") / BLOCK).cast("int").alias("nb_most"), F.ceil((F.col("m") - F.col("x.n_comp")) / BLOCK).cast("int").alias("nb_rest")))
@@ -262,28 +275,32 @@ def _spanning(members: DataFrame, comps: DataFrame, about: DataFrame, percent: i
         F.concat(F.transform(to_rest, own), F.transform(to_most, lambda o: block(1, F.col("blk"), o, F.lit(0))))
     )
     rows = rows.select("node", "comp", "n", "sketch", F.explode(dealt).alias("x")).select("x.grp", "node", "comp", "n", "sketch", "x.side")
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInPandas(_across(percent, nearest), "a long, b long").distinct()
+    found = rows.repartition("grp").sortWithinPartitions("grp").mapInPandas(_across(percent, nearest), "a long, b long").distinct()
+    out = cut(found.join(tested, ["a", "b"], "left_anti"))
+    drop_cut(placed)
+    drop_cut(per_key)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_id, text_id."""
     small_batches(docs.sparkSession)
     table = cut(sketched(docs, k, percent, id_col, text_col))
-    members = cut(bucket_rows(table))
+    members = bucket_rows(table)
     reps = cut(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")))
     about = table.where("keys IS NOT NULL").select("node", "n", "sketch").dropDuplicates(["node"])
     votes = members.where("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
     best = votes.groupBy("node").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("x")).select("node", (-F.col("x.l")).alias("leader"))
     pairs = cut(best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    tested, comps = pairs, cut(components(cut(_verified(docs, reps, pairs, k, percent, id_col, text_col))))
+    tested, comps = pairs, cut(components(_checked(docs, reps, pairs, k, percent, id_col, text_col)))
     for step in range(NEAREST_ROUNDS + 1):
-        fresh_ = _spanning(members, comps, about, percent, nearest=step < NEAREST_ROUNDS)
-        pairs = cut(fresh_.join(tested, ["a", "b"], "left_anti"))
+        pairs = _spanning(members, comps, about, tested, percent, nearest=step < NEAREST_ROUNDS)
         if pairs.isEmpty():
             if step == NEAREST_ROUNDS:
                 break
             continue
-        tested, comps = tested.unionByName(pairs), cut(joined_components(comps, cut(_verified(docs, reps, pairs, k, percent, id_col, text_col))))
+        tested, comps = tested.unionByName(pairs), cut(joined_components(comps, _checked(docs, reps, pairs, k, percent, id_col, text_col)))
+    drop_cut(members)
     owned = reps.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "rep")
     lowest = owned.groupBy("comp").agg(F.min("rep").alias("component"))
     named = cut(owned.join(lowest, "comp").select("node", "component"))

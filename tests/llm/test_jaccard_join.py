@@ -101,3 +101,16 @@ def test_linked_sets_share_a_key():
                 top = int(np.searchsorted(starts, len(hi), side="right")) - 1
                 assert top in (band, band + 1)
                 assert np.intersect1d(jj.sketch_keys(a, band, *cut_into[band]), jj.sketch_keys(b, band, *cut_into[band])).size
+
+
+def test_whole_sets_and_buckets_are_removed_when_they_were_read(spark, monkeypatch):
+    import os
+
+    written, plain = [], jj.cut
+    monkeypatch.setattr(jj, "cut", lambda df, *a: written.append((made := plain(df, *a), made.inputFiles())) or made)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[:58] + [f"x{i}", f"y{i}"])) for i in range(6)], "doc_id long, text string")
+    found = jaccard_components(docs, 3, 80)
+    assert {r["component_id"] for r in found.collect()} == {0}
+    kept = [set(df.columns) for df, files in written if any(os.path.exists(f.removeprefix("file://")) for f in files)]
+    assert kept and not [c for c in kept if "items" in c or "bits" in c or c == {"key", "node"}]
