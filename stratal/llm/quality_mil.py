@@ -1,9 +1,9 @@
 """Quality classifier: gated-attention multiple-instance learning over passages.
 
 A text is a bag of passages of PASSAGE words. Each passage is encoded by dense features and a learned layer; gated
-attention weighs the passages, and a logistic layer scores the weighted mean. A bag has at most BAG rows: of longer texts
-the rows of neighbouring passages are averaged, in training and scoring alike. Everything is learned from document labels
-on a bounded sample (PER_CLASS documents of each label); all rows and whole texts are scored. Labels, lang, source and
+attention weighs the passages, and a logistic layer scores the weighted mean. Every passage of a text is scored. Everything is
+learned from document labels on a bounded sample: PER_CLASS documents of each label, and of texts beyond BAG passages the means
+of neighbours, BAG rows a document, for the driver holds them. All rows and whole texts are scored. Labels, lang, source and
 doc_id are never inputs of a score.
 
 Defined cases: null text counts as empty, which is one empty passage, and gets a score; a null doc_id is carried and not
@@ -54,11 +54,15 @@ def passage_features(words: list[str]) -> list[float]:
     ]
 
 
-def passages(text: str) -> list[list[float]]:
-    """The bag of a text: a row for every passage. Beyond BAG passages, rows of neighbours are averaged in BAG equal parts, alike
-    in training and scoring, so that a model's input is bounded and every passage counts."""
+def every_passage(text: str) -> list[list[float]]:
+    """The bag of a text that is scored: a row for every passage."""
     words = text.split()
-    rows = [passage_features(words[i : i + PASSAGE]) for i in range(0, max(1, len(words)), PASSAGE)]
+    return [passage_features(words[i : i + PASSAGE]) for i in range(0, max(1, len(words)), PASSAGE)]
+
+
+def passages(text: str) -> list[list[float]]:
+    """A bag of the training sample: beyond BAG passages, rows of neighbours are averaged in BAG equal parts."""
+    rows = every_passage(text)
     return rows if len(rows) <= BAG else [list(map(float, part.mean(0))) for part in np.array_split(np.array(rows), BAG)]
 
 
@@ -140,7 +144,7 @@ def scored(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         for pdf in batches:
             texts = [t or "" for t in pdf["__text"]]
-            s = np.full(len(texts), model) if isinstance(model, float) else model.score([np.array(passages(t)) for t in texts]) if texts else np.zeros(0)
+            s = np.full(len(texts), model) if isinstance(model, float) else model.score([np.array(every_passage(t)) for t in texts]) if texts else np.zeros(0)
             out = pdf.drop(columns="__text")
             if "doc_id" in out:
                 out["doc_id"] = out["doc_id"].astype("Int64")
@@ -175,7 +179,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                s = model.score([np.array(passages(t or "")) for t in batch.column(at).to_pylist()])
+                s = model.score([np.array(every_passage(t or "")) for t in batch.column(at).to_pylist()])
                 batch = batch.filter(pc.fill_null(pa.array(s >= THRESHOLD), True))
             yield batch
 

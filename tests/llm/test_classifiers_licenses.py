@@ -253,3 +253,12 @@ def test_toxicity_features_against_loops():
         assert x[0] == sum(weight[chunks[i]] for i in at) / len(chunks)
         assert x[9] == sum(chunks[i] in INSULTS for i in at) and x[12] == near and x[2] == len({chunks[i] for i in at})
         assert x[18] == sum(c == "st@r" for c in chunks) / len(chunks) and x[19] == sum(c == "soooo" for c in chunks) / len(chunks)
+
+
+def test_every_passage_of_a_long_text_is_a_row_of_its_bag():
+    from stratal.llm.quality_mil import BAG, PASSAGE, every_passage, passage_features
+
+    words = [f"w{i}" for i in range(PASSAGE * (BAG + 40))]
+    words[PASSAGE * 70 : PASSAGE * 71] = ["!!!"] * PASSAGE
+    bag = every_passage(" ".join(words))
+    assert len(bag) == BAG + 40 and bag[70] == passage_features(["!!!"] * PASSAGE)
