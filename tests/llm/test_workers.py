@@ -32,3 +32,17 @@ def test_every_query_runs_where_workers_lack_the_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", SCRIPT, REPO], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=1500)
     assert done.returncode == 0, done.stderr[-3000:]
     assert sum(line.startswith("RAN ") for line in done.stdout.splitlines()) == 17
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    import glob
+
+    from stratal.llm.common import cut
+    from stratal.shuffles import CLEANUP
+
+    before = spark.conf.get(CLEANUP, None)
+    held = lambda: {f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    there = held()
+    found = cut(spark.range(1000).selectExpr("id % 7 AS k").repartition(5, "k").groupBy("k").count())
+    assert not held() - there
+    assert found.count() == 7 and spark.conf.get(CLEANUP, None) == before
