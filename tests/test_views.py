@@ -47,3 +47,17 @@ def test_a_rename_looks_places_up_without_all_axioms(spark):
     done, plan = mu.rename_iri(from_nodes(spark, axioms, prefixes), "ex:A", "ex:B")
     assert [r["outcome"] for r in plan.collect()] == ["merged"]
     assert done.axioms.count() == 2 and done.mentions.where("entity_iri = 'ex:A'").isEmpty()
+
+
+def test_settled_tables_are_broadcast_whatever_the_threshold(spark):
+    """What an IRI's axioms are looked up by may be larger than the planner's threshold, and the other side is every axiom."""
+    prefixes = spark.createDataFrame([("ex", "http://ex.org/")], "name string, namespace_iri string")
+    o = from_nodes(spark, [m.make("SubClassOf", sub_class=a, super_class="ex:C") for a in ("ex:A", "ex:B", "ex:D")], prefixes)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        planned = mu.rename_plan(o, "ex:A", "ex:B")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    semi = [x for x in planned.splitlines() if "LeftSemi" in x]
+    assert semi and all("BroadcastHashJoin" in x for x in semi)
