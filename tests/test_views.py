@@ -70,3 +70,13 @@ def test_all_axioms_are_taken_apart_without_being_written(spark):
     for made in (registry.content_hashes(o), registry.exploded_axioms(o)):
         assert all(f.startswith(f"file://{SF}/") or "fixture-pairs" in f for f in made.inputFiles())
         assert made._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+
+
+def test_hashes_with_an_annotation_are_moved_once(spark):
+    prefixes = spark.createDataFrame([("ex", "http://ex.org/")], "name string, namespace_iri string")
+    notes = (("rdfs:comment", m.Literal("a", None, "en")), ("rdfs:comment", m.Literal("b", None, "en")))
+    axioms = [m.make("SubClassOf", notes[: i % 3], sub_class=f"ex:A{i}", super_class="ex:C") for i in range(9)]
+    found = q.find_axioms(from_nodes(spark, axioms, prefixes), c.HasAnyAnnotation(("rdfs:comment",)))
+    assert [r["hash"] for r in found.collect()] == sorted(m.content_hash(a) for a in axioms if a.annotations)
+    planned = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert planned.count("Exchange ") == 1
