@@ -104,3 +104,36 @@ def test_fixture_from_its_json_equals_the_templates(spark):
 def test_lists_of_axioms_need_no_json(spark):
     o = from_nodes(spark, constants() * 2, spark.createDataFrame([], "name string, namespace_iri string"))
     assert o.axioms.count() == len(constants()) and "Python" not in o.mentions._jdf.queryExecution().executedPlan().toString()
+
+
+def test_usual_shapes_are_written_from_their_members(spark):
+    """The short way gives what the structs give, whatever the shape, the order of fields and the escapes."""
+    rng = random.Random(7)
+    some = [json.dumps(shuffled(m.to_json(a), rng), ensure_ascii=bool(i % 2)) for i, a in enumerate(some_axioms(5, 200) + constants())]
+    note = '{"property":"ex:p","value":%s}'
+    notes = ["", note % '"ex:A"', note % '{"value":"{x}"}', note % '{"lang":"en","value":"b"}', note % '{"value":"","datatype":"xsd:token"}']
+    notes += [f"{notes[3]},{notes[3]}", f"{notes[1]},{notes[3]}", note % '{"value":"\\u00e5\\n"}', note % '{"value":"v","lang":"en","datatype":"xsd:string"}']
+    odd = ['{"super_class":{"operands":["ex:b","ex:B","ex:a"]},"sub_class":"ex:A","annotations":[%s]}' % n for n in notes]
+    odd += ['{"annotations":[%s],"property":"ex:p","source":"ex:b","target":"ex:a"}' % n for n in notes]
+    odd += ['{"same_individuals":["ex:b",null,"ex:a"]}', '{"same_individuals":["ex:null","ex:a"]}', '{"chain":["ex:b","ex:a","ex:b"],"super_property":"ex:a"}', '{"iri":7,"entity_type":"Class"}']
+    odd += ['{"negated":true,"value":{"value":"a\\\\b"},"property":"ex:p","individual":"ex:i"}', '{"class_expression":{"operands":["ex:b",{"individual":"ex:a"}]},"individual":"ex:A"}']
+    rows = spark.createDataFrame([(str(i), x) for i, x in enumerate([*some, *odd, None])], "hash string, data string")
+    want = columnar.axiom_rows(columnar.taken_apart(rows)).collect()
+    assert Counter(map(tuple, columnar.canonical_rows(rows).collect())) == Counter(map(tuple, want)) and len(want) == len(some) + len(odd)
+    for bad in ('{"sub_class":', '{"sub_class":"ex:A","other":"ex:B"}'):
+        with pytest.raises(Exception, match="MALFORMED_RECORD|no type has the fields"):
+            columnar.canonical_rows(spark.createDataFrame([("h", bad)], "hash string, data string"), depth=2).collect()
+
+
+def test_axioms_of_large_tables_have_usual_shapes(spark):
+    """Of the fixture only texts that need escapes and a closed number of axioms take the long way."""
+    usual = [x.shape for tag in AXIOMS for x in columnar._forms("axiom", tag, "$")]
+    bare = ontology(spark, "/root/testdata/sf0.001").axioms.where(F.col("data").rlike(columnar.BARE))
+    shape = F.regexp_replace(F.schema_of_variant(F.parse_json("data")), "annotations: ARRAY<OBJECT<property: STRING, value: OBJECT<lang: STRING, value: STRING>>>, ", "")
+    assert bare.where(~shape.isin(usual)).count() <= len(constants()) + 25
+
+
+def test_deepest_data(spark):
+    cases = [('{"a":"b"}', 1), ('{"a":{"b":[{"c":"}{{"}]}}', 3), ('{"a":"\\"{{{\\\\","b":{"c":"\\\\"}}', 2), ('{"a":"{{{{"}', 1)]
+    for data, depth in cases:
+        assert columnar.deepest(spark.createDataFrame([("h", data)], "hash string, data string")) == depth
