@@ -133,6 +133,33 @@ def test_axioms_of_large_tables_have_usual_shapes(spark):
     assert bare.where(~shape.isin(usual)).count() <= len(constants()) + 25
 
 
+def test_entity_texts_are_cut_from_usual_shapes(spark):
+    """In one pass, what the structs give, whatever the shape, the order of fields and the escapes."""
+    rng = random.Random(7)
+    axioms = some_axioms(5, 200) + constants()
+    some = [json.dumps(shuffled(m.to_json(a), rng), ensure_ascii=bool(i % 2)) for i, a in enumerate(axioms)] + [stored_json(a) for a in axioms]
+    note = '{"property":"ex:p","value":%s}'
+    notes = ["", note % '"ex:b"', note % '{"value":"x: {y}","lang":"en"}', note % '{"value":"","datatype":"xsd:token"}', note % '{"value":"\\u00e5\\n","lang":"en"}']
+    notes += [f"{notes[1]},{notes[2]}", f"{notes[2]},{notes[2]}"]
+    odd = ['{"property":"ex:p","source":"ex:b","target":"ex:b","annotations":[%s]}' % n for n in notes]
+    odd += ['{"property":"ex:p","subject":":","value":{"value":"Ü:","lang":"en"}}', '{"property":"ex:p","subject":"ex:a","value":{"value":"","lang":"en"}}', '{"property":"ex:p","subject":"ex:a","value":"ex:a"}']
+    odd += ['{"sub_class":"ex:A","super_class":"ex:A"}', ' {"sub_class":"ex:A", "super_class":"ex:B"}', '{"same_individuals":["ex:b",null,"ex:a"]}', '{"iri":7,"entity_type":"Class"}']
+    rows = spark.createDataFrame([(str(i), x) for i, x in enumerate([*some, *odd, None])], "hash string, data string")
+    found = columnar.entity_text_rows(rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, columnar.relations(columnar.taken_apart(rows))["entity_text"].collect()))
+    for bad in ('{"sub_class":', '{"sub_class":"ex:A","other":"ex:B"}', '{"sub_class":"ex:A","super_class":"a\nb"}'):
+        with pytest.raises(Exception, match="MALFORMED_RECORD|no type has the fields"):
+            columnar.entity_text_rows(spark.createDataFrame([("h", bad)], "hash string, data string"), depth=1).collect()
+
+
+def test_axioms_of_large_tables_are_cut_at_their_quotes(spark):
+    known = columnar.usual_shapes()
+    data = ontology(spark, "/root/testdata/sf0.001").axioms.where(F.col("data").rlike(columnar.AS_IT_IS))
+    shape = columnar.skeleton(F.col("data"), F.split("data", '"'), 40)
+    assert data.where(~shape.isin([x[0] for x in known])).count() <= len(constants()) + 25
+
+
 def test_deepest_data(spark):
     cases = [('{"a":"b"}', 1), ('{"a":{"b":[{"c":"}{{"}]}}', 3), ('{"a":"\\"{{{\\\\","b":{"c":"\\\\"}}', 2), ('{"a":"{{{{"}', 1)]
     for data, depth in cases:
